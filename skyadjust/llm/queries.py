@@ -5,8 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import bpe, mixing
+from . import bpe, fingerprint, jaccard, mixing, quality, sharding, urlfilter, warc
+from ._common import Scratch
 
 TOKENIZER = "byte_bpe_50k.json"
 
@@ -23,6 +25,76 @@ def tokenizer_json(name: str = TOKENIZER) -> str:
         return f.read()
 
 
+def op1_warc_transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = Scratch(spark, "warc").path("archives")
+    warc.write(table(spark, sf_dir, "pages"), path)
+    captures = warc.assemble(warc.read(spark, path, payload=False))
+    page = lambda c: F.regexp_extract(c, r"^<urn:page:(-?\d+):", 1).cast("long")
+    return captures.select(
+        page(F.col("response.record_id")).alias("page_id"), F.col("response.payload_bytes").alias("payload_bytes"), F.col("response.payload_digest").alias("payload_digest"),
+        F.col("response.type").alias("record_type"), F.when(F.col("response.refers_to").isNotNull(), page(F.col("response.refers_to"))).alias("refers_to"),
+        F.size("requests").alias("n_requests"), F.size("metadata").alias("n_metadata"),
+    )
+
+
+def op2_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprint.compare_edits(table(spark, sf_dir, "documents"))
+
+
+def op3_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.join(table(spark, sf_dir, "documents"))
+
+
+def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return quality.classify(docs, quality.train(docs, table(spark, sf_dir, "labels")))
+
+
+def op8_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = sharding.shard(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
+#: The rules that op9 judges by.
+RULES = (("block", "com/en/"), ("allow", "example.com/en/7"), ("allow", "net/de/"), ("block", "example.net/de/8"), ("block", "org/es/"))
+#: Host labels whose pages' canonical URLs make op9's list.
+SPAM_HOSTS = r"(^|\.)(spam-farm|cheap-pills)\."
+
+
+def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages")
+    listed = pages.where(F.col("url").rlike("://") & urlfilter.host_of(F.col("url")).rlike(SPAM_HOSTS)).select(urlfilter.canonical(F.col("url")).alias("key")).distinct()
+    return urlfilter.judge(pages, RULES, listed)
+
+
+OP1_SQL = r"""
+WITH p AS (SELECT page_id, octet_length(encode(coalesce(html, ''))) AS payload_bytes, sha1(coalesce(html, '')) AS payload_digest FROM pages),
+m AS (SELECT payload_digest AS d, max(page_id) AS first FROM p WHERE payload_bytes >= 1000 GROUP BY 1 HAVING count(*) > 1)
+SELECT page_id, CAST(payload_bytes AS BIGINT) AS payload_bytes, payload_digest,
+       CASE WHEN first <> page_id THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN first <> page_id THEN first END AS refers_to, 1::INTEGER AS n_requests, 1::INTEGER AS n_metadata
+FROM p LEFT JOIN m ON payload_digest = d
+"""
+
+OP9_SQL = r"""
+WITH u AS (
+  SELECT page_id, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages),
+s AS (
+  SELECT page_id, translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+         regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM u),
+c AS (SELECT *, regexp_replace(host, '^www\.', '') || regexp_replace(path, '/+$', '') AS canon FROM s),
+listed AS (SELECT DISTINCT canon FROM c WHERE regexp_matches(host, '(^|\.)(spam-farm|cheap-pills)\.')),
+r(rule, rhost, rpath, verdict) AS (VALUES ('com/en/', 'com', '/en/', 'block'), ('example.com/en/7', 'example.com', '/en/7', 'allow'),
+  ('net/de/', 'net', '/de/', 'allow'), ('example.net/de/8', 'example.net', '/de/8', 'block'), ('org/es/', 'org', '/es/', 'block')),
+fit AS (
+  SELECT page_id, host, path, arg_max(rule, length(rule)) AS rule, arg_max(r.verdict, length(rule)) AS v
+  FROM c JOIN r ON (host = rhost OR ends_with(host, '.' || rhost)) AND starts_with(path, rpath) GROUP BY ALL)
+SELECT c.page_id, c.host, c.path, fit.rule,
+       coalesce(fit.v, CASE WHEN c.canon IN (SELECT canon FROM listed) THEN 'block' ELSE 'allow' END) AS verdict
+FROM c LEFT JOIN fit ON c.page_id = fit.page_id AND c.host = fit.host AND c.path = fit.path
+"""
+
+
 def op6_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     plan = mixing.mix(table(spark, sf_dir, "documents"))
     return plan.selectExpr("doc_id", "size", "source_size", "round(target, 4) AS target", "taken")
@@ -68,10 +140,16 @@ FROM run
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_warc_transactions": op1_warc_transactions,
+        "op2_fingerprints": op2_fingerprints,
+        "op3_jaccard_join": op3_jaccard_join,
         "op6_mix_sources": op6_mix_sources,
+        "op7_quality": op7_quality,
+        "op8_shards": op8_shards,
+        "op9_url_filter": op9_url_filter,
         "op10_bpe": op10_bpe,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_mix_sources": OP6_SQL}
+    return {"op1_warc_transactions": OP1_SQL, "op6_mix_sources": OP6_SQL, "op9_url_filter": OP9_SQL}
