@@ -18,6 +18,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..shipping import map_arrow
 from ._common import text_or_empty
 from ._words import slices
 
@@ -184,4 +185,4 @@ def encode(docs: DataFrame, definition: str, with_ids: bool = True, id_col: str
                 yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "n_tokens", *(["ids"] if with_ids else []), "ids_sha256", "decoded_sha256"])
 
     ids = "ids array<int>, " if with_ids else ""
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), text_or_empty(text_col).alias("text")).mapInArrow(run, f"doc_id long, n_tokens long, {ids}ids_sha256 string, decoded_sha256 string")
+    return map_arrow(docs.select(F.col(id_col).cast("long").alias("doc_id"), text_or_empty(text_col).alias("text")), run, f"doc_id long, n_tokens long, {ids}ids_sha256 string, decoded_sha256 string")

@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..shipping import map_arrow, ship
 from ._common import text_or_empty
 from ._words import BASE, INV, U, Words, mix, powers
 
@@ -160,7 +161,7 @@ def fingerprint(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
                 owner, digest = paragraph_digests(part)
                 yield pa.RecordBatch.from_arrays([ids.slice(at, len(part)), pa.array(map(len, part), pa.int64()), pa.array(fingerprints(owner, digest, len(part)))], names=["doc_id", "n_chars", "fingerprint"])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), text_or_empty(text_col).alias("text")).mapInArrow(run, "doc_id long, n_chars long, fingerprint string")
+    return map_arrow(docs.select(F.col(id_col).cast("long").alias("doc_id"), text_or_empty(text_col).alias("text")), run, "doc_id long, n_chars long, fingerprint string")
 
 
 def _parts(texts: list[str], limit: int = 1 << 20) -> Iterator[tuple[int, list[str]]]:
@@ -187,6 +188,7 @@ def compare_edits(docs: DataFrame, block_rows: int = 500, max_blocks: int = 4096
     a single document is its own next; null ids come first; an empty table gives no rows.
     """
     spark = docs.sparkSession
+    ship(spark)
     own = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))).alias("doc_id"), F.col("doc_id").isNull().alias("no_id"), text_or_empty().alias("text"))
     ids = own.select("doc_id")
     n = ids.count()
@@ -223,7 +225,7 @@ def compare_edits(docs: DataFrame, block_rows: int = 500, max_blocks: int = 4096
         if rows:
             yield from _compare([*rows, None])
 
-    return dealt.mapInArrow(run, "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, differing long")
+    return map_arrow(dealt, run, "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, differing long")
 
 
 def _compare(rows: list) -> Iterator[pa.RecordBatch]:

@@ -25,6 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..shipping import map_arrow
 from ._common import Scratch, broadcast_if_small, components, text_or_empty
 from ._words import BASE, INV, U, Words, mix, powers, slices
 
@@ -115,7 +116,7 @@ def _common_words(docs: DataFrame) -> np.ndarray:
                     item = mix(np.bitwise_xor.reduceat(mix(s), at) ^ (place[at] * U(0x9E3779B97F4A7C15)))
                     yield pa.RecordBatch.from_arrays([pa.array(item.view(np.int64)), pa.array(ids[owner[at]])], names=["item", "cls"])
 
-    items = sample.repartition(16, "doc_id").mapInArrow(run, "item long, cls long")
+    items = map_arrow(sample.repartition(16, "doc_id"), run, "item long, cls long")
     rows = items.distinct().groupBy("item").count().where(F.col("count") >= COMMON).orderBy(F.desc("count"), "item").limit(50_000).collect()
     return np.sort(np.array([r[0] for r in rows], np.int64).view(U))
 
@@ -152,7 +153,7 @@ def _profiles(docs: DataFrame, common: np.ndarray) -> DataFrame:
                     pa.ListArray.from_arrays(pa.array(offsets), pa.array(sig[order])),
                 ], names=names)
 
-    return docs.mapInArrow(run, "doc_id long, n long, cls long, sketch binary, sigs array<long>")
+    return map_arrow(docs, run, "doc_id long, n long, cls long, sketch binary, sigs array<long>")
 
 
 def _near(pairs: DataFrame) -> DataFrame:
@@ -166,7 +167,7 @@ def _near(pairs: DataFrame) -> DataFrame:
             ok = (far * 7 <= na + nb) & (np.minimum(na, nb) * 4 >= np.maximum(na, nb) * 3)
             yield pa.RecordBatch.from_arrays([batch.column(0).filter(pa.array(ok)), batch.column(1).filter(pa.array(ok)), pa.array(far[ok] / np.maximum(na + nb, 1)[ok])], names=["a", "b", "far"])
 
-    return pairs.select("a", "b", "na", "nb", "sa", "sb").mapInArrow(run, "a long, b long, far double")
+    return map_arrow(pairs.select("a", "b", "na", "nb", "sa", "sb"), run, "a long, b long, far double")
 
 
 def _verify(pairs: DataFrame, docs: DataFrame, classes: DataFrame, scratch: Scratch) -> DataFrame:
@@ -196,11 +197,11 @@ def _verify(pairs: DataFrame, docs: DataFrame, classes: DataFrame, scratch: Scra
             keep = pa.array(good, pa.bool_())
             yield pa.RecordBatch.from_arrays([batch.column(0).filter(keep), batch.column(1).filter(keep)], names=["a", "b"])
 
-    sets = docs.join(broadcast_if_small(need, need.count()), "doc_id").select("cls", "text").mapInArrow(run, "cls long, set binary").dropDuplicates(["cls"])
+    sets = map_arrow(docs.join(broadcast_if_small(need, need.count()), "doc_id").select("cls", "text"), run, "cls long, set binary").dropDuplicates(["cls"])
     sets = scratch.save(sets, "sets")
     with_b = pairs.join(sets.select(F.col("cls").alias("b"), F.col("set").alias("sb")), "b")
     whole = with_b.join(sets.select(F.col("cls").alias("a"), F.col("set").alias("sa")), "a").select("a", "b", "sa", "sb")
-    out = scratch.save(whole.mapInArrow(check, "a long, b long"), "links")
+    out = scratch.save(map_arrow(whole, check, "a long, b long"), "links")
     scratch.drop(sets, need)
     return out
 
@@ -243,7 +244,7 @@ def _bucket_pairs(rows: DataFrame) -> DataFrame:
         if len(group) > 1:
             yield pa.RecordBatch.from_arrays([pa.array(x) for x in pairs(key, group)], names=["a", "b"])
 
-    return rows.mapInArrow(run, "a long, b long").distinct()
+    return map_arrow(rows, run, "a long, b long").distinct()
 
 
 def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

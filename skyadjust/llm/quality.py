@@ -15,6 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..shipping import map_arrow
 from ._common import text_or_empty
 from ._words import SPACE, Words, slices
 
@@ -111,7 +112,7 @@ def _map(df: DataFrame, columns: str, fn) -> DataFrame:
             for batch in slices(whole, 1):
                 yield pa.RecordBatch.from_arrays([batch.column(0), *fn(features(batch.column(1)))], names=[c.split()[0] for c in columns.split(", ")])
 
-    return df.mapInArrow(run, columns)
+    return map_arrow(df, run, columns)
 
 
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Ranking:
@@ -152,4 +153,4 @@ def keep_good(docs: DataFrame, ranking: Ranking) -> DataFrame:
                 row = batch.column(0).filter(good)
                 yield pa.RecordBatch.from_arrays(row.flatten(), schema=pa.schema(list(row.type)))
 
-    return rows.mapInArrow(run, docs.schema)
+    return map_arrow(rows, run, docs.schema)

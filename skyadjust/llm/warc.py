@@ -15,6 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..shipping import map_arrow
 from ._common import broadcast_if_small
 
 END = "\r\n\r\n"
@@ -141,7 +142,7 @@ def read(spark: SparkSession, path: str, payload: bool = True) -> DataFrame:
                 if rows:
                     yield _batch(rows, payload)
 
-    return spark.read.format("binaryFile").load(path).select("content").mapInArrow(run, RECORD_SCHEMA + (", payload binary" if payload else ""))
+    return map_arrow(spark.read.format("binaryFile").load(path).select("content"), run, RECORD_SCHEMA + (", payload binary" if payload else ""))
 
 
 def _row(h: dict[str, list[str]], block: memoryview) -> tuple[tuple, memoryview]:
