@@ -171,38 +171,36 @@ def _near(pairs: DataFrame) -> DataFrame:
 
 
 def _verify(pairs: DataFrame, docs: DataFrame, classes: DataFrame, scratch: Scratch) -> DataFrame:
-    """Of (a, b), the pairs whose sets have 100 * intersection >= 75 * union; sets are made anew from the texts of the classes' first documents."""
-    need = pairs.select(F.col("a").alias("cls")).unionAll(pairs.select(F.col("b").alias("cls"))).distinct().join(classes.select("cls", "rep"), "cls")
-    need = scratch.save(need.select("cls", F.col("rep").alias("doc_id")), "need")
+    """Of (a, b), the pairs whose sets have 100 * intersection >= 75 * union.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for batch in slices(whole, 1):
-                first, s = shingle_sets(batch.column(1))
-                raw = s.tobytes()
-                # Only a text that still has the class's set counts: ids may repeat.
-                ok = pa.array(class_ids(first, s) == batch.column(0).to_numpy())
-                sets = pa.array([raw[8 * i : 8 * j] for i, j in zip(first[:-1].tolist(), first[1:].tolist(), strict=True)], pa.binary())
-                yield pa.RecordBatch.from_arrays([batch.column(0).filter(ok), sets.filter(ok)], names=["cls", "set"])
+    Sets are made anew from the texts of the classes' first documents: texts are less to move than sets.
+    """
+    need = pairs.select(F.col("a").alias("cls")).unionAll(pairs.select(F.col("b").alias("cls"))).distinct().join(classes.select("cls", "rep"), "cls")
+    need = scratch.save(need.select("cls", F.col("rep").alias("rep_id")), "need")
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            good = []
-            for x, y in zip(batch.column(2), batch.column(3), strict=True):
-                p, q = np.frombuffer(x.as_buffer(), U), np.frombuffer(y.as_buffer(), U)
-                both = np.concatenate([p, q])
-                both.sort()
-                inner = int((both[1:] == both[:-1]).sum())
-                good.append(100 * inner >= 75 * (len(both) - inner))
-            keep = pa.array(good, pa.bool_())
-            yield pa.RecordBatch.from_arrays([batch.column(0).filter(keep), batch.column(1).filter(keep)], names=["a", "b"])
-
-    sets = map_arrow(docs.join(broadcast_if_small(need, need.count()), "doc_id").select("cls", "text"), run, "cls long, set binary").dropDuplicates(["cls"])
-    sets = scratch.save(sets, "sets")
-    with_b = pairs.join(sets.select(F.col("cls").alias("b"), F.col("set").alias("sb")), "b")
-    whole = with_b.join(sets.select(F.col("cls").alias("a"), F.col("set").alias("sa")), "a").select("a", "b", "sa", "sb")
+        for whole in batches:
+            for batch in slices(whole, 3, 1 << 19):
+                (fa, a), (fb, b) = shingle_sets(batch.column(2)), shingle_sets(batch.column(3))
+                inner = []
+                for i in range(batch.num_rows):
+                    both = np.concatenate([a[fa[i] : fa[i + 1]], b[fb[i] : fb[i + 1]]])
+                    both.sort()
+                    inner.append(int((both[1:] == both[:-1]).sum()))
+                inner = np.array(inner, np.int64)
+                good = 100 * inner >= 75 * (np.diff(fa) + np.diff(fb) - inner)
+                # Only texts that still have their class's set count: ids may repeat.
+                good &= (class_ids(fa, a) == batch.column(0).to_numpy()) & (class_ids(fb, b) == batch.column(1).to_numpy())
+                keep = pa.array(good)
+                yield pa.RecordBatch.from_arrays([batch.column(0).filter(keep), batch.column(1).filter(keep)], names=["a", "b"])
+
+    ids = broadcast_if_small(need, need.count())
+    texts = scratch.save(docs.join(ids, docs["doc_id"].eqNullSafe(ids["rep_id"])).select("cls", "text"), "texts")
+    with_b = pairs.join(texts.select(F.col("cls").alias("b"), F.col("text").alias("tb")), "b")
+    whole = with_b.join(texts.select(F.col("cls").alias("a"), F.col("text").alias("ta")), "a").select("a", "b", "ta", "tb")
     out = scratch.save(map_arrow(whole, check, "a long, b long"), "links")
-    scratch.drop(sets, need)
+    scratch.drop(texts, need)
+    scratch.release()
     return out
 
 
@@ -267,6 +265,9 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     same = Window.partitionBy("sig")
     met = profiles.select(F.explode("sigs").alias("sig"), "cls").withColumns({"lo": F.min("cls").over(same), "hi": F.max("cls").over(same)})
     met = scratch.save(met.where("lo < hi").select("sig", "cls", "lo"), "met")
+    rows = scratch.save(profiles.select("doc_id", "n", "cls"), "rows")
+    scratch.drop(profiles)
+    scratch.release()
 
     def known(pairs: DataFrame) -> DataFrame:
         side = lambda x: classes.select(F.col("cls").alias(x), F.col("n").alias(f"n{x}"), F.col("sketch").alias(f"s{x}"))
@@ -302,5 +303,5 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
 
     placed = classes.join(roots, F.col("cls") == F.col("node"), "left").select("cls", "rep", F.coalesce("root", "cls").alias("root"))
     final = placed.join(placed.groupBy("root").agg(F.min("rep").alias("component")), "root").select("cls", "component")
-    with_set = profiles.where("cls is not null").select("doc_id", "n", "cls").join(final, "cls").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
-    return with_set.unionByName(profiles.where("cls is null").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id")))
+    with_set = rows.where("cls is not null").join(final, "cls").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
+    return with_set.unionByName(rows.where("cls is null").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id")))
