@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, fingerprint, jaccard, mixing, quality, sharding, urlfilter, warc
+from . import bpe, fingerprint, jaccard, mixing, phrases, quality, sharding, urlfilter, warc
 from ._common import Scratch
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -45,6 +45,10 @@ def op3_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.join(table(spark, sf_dir, "documents"))
 
 
+def op4_repeated_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.dedup(table(spark, sf_dir, "documents"))
+
+
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return quality.classify(docs, quality.train(docs, table(spark, sf_dir, "labels")))
@@ -143,6 +147,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_warc_transactions": op1_warc_transactions,
         "op2_fingerprints": op2_fingerprints,
         "op3_jaccard_join": op3_jaccard_join,
+        "op4_repeated_phrases": op4_repeated_phrases,
         "op6_mix_sources": op6_mix_sources,
         "op7_quality": op7_quality,
         "op8_shards": op8_shards,
