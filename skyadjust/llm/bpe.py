@@ -13,6 +13,7 @@ import json
 from collections.abc import Iterable, Iterator
 from itertools import chain
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
@@ -158,12 +159,13 @@ def tokenizer(definition: str) -> Tokenizer:
     return _LIVE[key]
 
 
-def encode(docs: DataFrame, definition: str, with_ids: bool = True, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def encode(docs: DataFrame, definition: str, with_ids: bool = True, packed: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Encode and decode every whole text.
 
     ``definition`` is the tokenizer's JSON text (about 1-2 MB), sent to each worker as a broadcast
     variable of that fixed size.  Returns (doc_id, n_tokens, ids [with_ids], ids_sha256,
-    decoded_sha256).  Null and empty texts: no tokens and the digests of the empty string; repeated
+    decoded_sha256).  ``packed`` makes ids a binary of little-endian unsigned integers, of 16 bits where
+    the vocabulary allows it, else 32.  Null and empty texts: no tokens and the digests of the empty string; repeated
     rows each give a row; other columns of ``docs`` are not read.  A map over rows: no shuffle.
     """
     shipped = docs.sparkSession.sparkContext.broadcast(definition)
@@ -171,6 +173,7 @@ def encode(docs: DataFrame, definition: str, with_ids: bool = True, id_col: str
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tok = tokenizer(shipped.value)
         decimal = tok.decimal.__getitem__
+        width = "<u2" if max(tok.bytes) < 1 << 16 else "<u4"
         for whole in batches:
             for batch in slices(whole, 1, 4 << 20):
                 counts, lists, enc, dec = [], [], [], []
@@ -180,9 +183,9 @@ def encode(docs: DataFrame, definition: str, with_ids: bool = True, id_col: str
                     enc.append(hashlib.sha256(",".join(map(decimal, ids)).encode()).hexdigest())
                     dec.append(hashlib.sha256(tok.decode(ids).encode()).hexdigest())
                     if with_ids:
-                        lists.append(ids)
-                cols = [batch.column(0), pa.array(counts, pa.int64()), *([pa.array(lists, pa.list_(pa.int32()))] if with_ids else []), pa.array(enc, pa.string()), pa.array(dec, pa.string())]
+                        lists.append(np.array(ids, width).tobytes() if packed else ids)
+                cols = [batch.column(0), pa.array(counts, pa.int64()), *([pa.array(lists, pa.binary() if packed else pa.list_(pa.int32()))] if with_ids else []), pa.array(enc, pa.string()), pa.array(dec, pa.string())]
                 yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "n_tokens", *(["ids"] if with_ids else []), "ids_sha256", "decoded_sha256"])
 
-    ids = "ids array<int>, " if with_ids else ""
+    ids = f"ids {'binary' if packed else 'array<int>'}, " if with_ids else ""
     return map_arrow(docs.select(F.col(id_col).cast("long").alias("doc_id"), text_or_empty(text_col).alias("text")), run, f"doc_id long, n_tokens long, {ids}ids_sha256 string, decoded_sha256 string")

@@ -305,3 +305,18 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     final = placed.join(placed.groupBy("root").agg(F.min("rep").alias("component")), "root").select("cls", "component")
     with_set = rows.where("cls is not null").join(final, "cls").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
     return with_set.unionByName(rows.where("cls is null").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id")))
+
+
+def keep_first(docs: DataFrame) -> DataFrame:
+    """Rows of ``docs``, all columns: of each near-duplicate component the one with the smallest doc_id.
+
+    Of rows that share a doc_id and differ one is kept, of the same component or not; rows with a null
+    doc_id stay.
+    """
+    scratch = Scratch(docs.sparkSession, "first")
+    found = scratch.save(join(docs).where("doc_id is not null"), "found")
+    gone = found.where("doc_id != component_id").select(F.col("doc_id").alias("gone__")).distinct()
+    gone = scratch.save(gone, "gone")
+    kept = docs.join(broadcast_if_small(gone, gone.count()), F.col("doc_id") == F.col("gone__"), "left_anti")
+    repeated = not found.groupBy("doc_id").count().where("count > 1").isEmpty()
+    return kept.dropDuplicates(["doc_id"]) if repeated else kept

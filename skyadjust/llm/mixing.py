@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._common import WORD, Scratch, text_or_empty
+from ._common import WORD, Scratch, broadcast_if_small, text_or_empty
 
 BUCKETS = 1024
 
@@ -77,3 +77,14 @@ def mix(docs: DataFrame, weights: Sequence[float] = (3, 1, 2), ratio: float = 1.
     picked = (F.col("before") + F.col("upto")) * 2 - F.col("size") <= rest * 2
     copies = (F.col("epochs") + F.when(picked & (F.col("size") > 0) & (F.col("epochs") * 1.0 < cap), 1).otherwise(0)).cast("long")
     return out.select("doc_id", "source", "size", "source_size", "target", copies.alias("copies"), (F.col("size") * copies).alias("taken"))
+
+
+def apply(docs: DataFrame, **settings) -> DataFrame:
+    """Rows of ``docs``, all columns, as often as the mix takes them (see ``mix``).
+
+    Rows that share a doc_id are all taken as often as the one of them taken most.
+    """
+    plan = mix(docs, **settings).groupBy("doc_id").agg(F.max("copies").alias("copies__")).withColumnRenamed("doc_id", "id__").where("copies__ > 0")
+    plan = Scratch(docs.sparkSession, "mix").save(plan, "plan")
+    joined = docs.join(broadcast_if_small(plan, plan.count()), F.col("doc_id").eqNullSafe(F.col("id__")))
+    return joined.withColumn("copy__", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies__")))).select(*docs.columns)

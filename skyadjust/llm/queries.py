@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, fingerprint, jaccard, mixing, phrases, quality, sharding, urlfilter, warc
+from . import bpe, embed_dedup, fingerprint, jaccard, mixing, phrases, quality, sharding, urlfilter, warc
 from ._common import Scratch
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -49,6 +49,10 @@ def op4_repeated_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
     return phrases.dedup(table(spark, sf_dir, "documents"))
 
 
+def op5_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embed_dedup.dedup(table(spark, sf_dir, "embeddings"))
+
+
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return quality.classify(docs, quality.train(docs, table(spark, sf_dir, "labels")))
@@ -148,6 +152,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_fingerprints": op2_fingerprints,
         "op3_jaccard_join": op3_jaccard_join,
         "op4_repeated_phrases": op4_repeated_phrases,
+        "op5_embedding_dedup": op5_embedding_dedup,
         "op6_mix_sources": op6_mix_sources,
         "op7_quality": op7_quality,
         "op8_shards": op8_shards,
