@@ -86,12 +86,12 @@ class Words:
 
 
 def slices(batch: pa.RecordBatch, column: int, limit: int = 1 << 20) -> Iterator[pa.RecordBatch]:
-    """Parts of a batch whose texts hold about ``limit`` bytes; one longer text is a part by itself."""
+    """Parts of a batch whose texts hold about ``limit`` bytes, a row counting 1 KB more; one longer text is a part by itself."""
     n = batch.num_rows
     if not n:
         return
     sizes = pc.binary_length(batch.column(column)).fill_null(0).to_numpy(zero_copy_only=False)
-    part = np.cumsum(sizes, dtype=np.int64) // limit
+    part = np.cumsum(sizes + 1024, dtype=np.int64) // limit
     cuts = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), n]
     for a, b in zip(cuts[:-1], cuts[1:], strict=True):
         if b > a:

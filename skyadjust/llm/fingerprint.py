@@ -167,7 +167,7 @@ def fingerprint(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 def _parts(texts: list[str], limit: int = 1 << 20) -> Iterator[tuple[int, list[str]]]:
     at, held = 0, 0
     for i, t in enumerate(texts):
-        held += len(t)
+        held += len(t) + 1024
         if held >= limit:
             yield at, texts[at : i + 1]
             at, held = i + 1, 0
@@ -218,10 +218,10 @@ def compare_edits(docs: DataFrame, block_rows: int = 500, max_blocks: int = 4096
         for batch in batches:
             for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 rows.append(row)
-                held += len(row[4])
+                held += len(row[4]) + 1024
                 if held > 1 << 20 and len(rows) > 1:
                     yield from _compare(rows)
-                    rows, held = rows[-1:], len(rows[-1][4])
+                    rows, held = rows[-1:], len(rows[-1][4]) + 1024
         if rows:
             yield from _compare([*rows, None])
 
