@@ -1,0 +1 @@
+"""Column expressions and kernels: cameras, map projection, polygons, robust losses."""

@@ -1,0 +1 @@
+"""The stages of block adjustment, each a function from DataFrames to DataFrames."""
