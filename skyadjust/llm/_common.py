@@ -70,6 +70,11 @@ def broadcast_if_small(df: DataFrame, rows: int, bound: int = 300_000) -> DataFr
     return F.broadcast(df) if rows <= bound else df
 
 
+def hash_share(hashed: Column, rows: int, total: int) -> Column:
+    """Whether a 64-bit hash falls into the share of hashes that holds about ``rows`` of ``total`` rows: a sample that reruns draw again."""
+    return hashed <= F.lit(min((1 << 63) - 1, -(1 << 63) + int((1 << 64) * min(1.0, rows / max(total, 1)))))
+
+
 def components(spark: SparkSession, edges: DataFrame, a: str, b: str, scratch: Scratch, max_rounds: int = 60) -> DataFrame:
     """Connected components by alternating large-star and small-star steps.
 

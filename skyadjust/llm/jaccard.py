@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..shipping import map_arrow
-from ._common import Scratch, broadcast_if_small, components, text_or_empty
+from ._common import Scratch, broadcast_if_small, components, hash_share, text_or_empty
 from ._words import BASE, INV, U, Words, mix, powers, slices
 
 SHINGLE = 5
@@ -102,7 +102,7 @@ def parity_sketches(first: np.ndarray, s: np.ndarray) -> np.ndarray:
 
 def _common_words(docs: DataFrame) -> np.ndarray:
     """Sketch words that are in many sets of a bounded sample; they only set the order, never what is found."""
-    sample = docs.orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE)
+    sample = docs.where(hash_share(F.xxhash64("doc_id", "text"), SAMPLE, docs.count()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
