@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from ..shipping import map_arrow
 from ._common import Scratch, broadcast_if_small, text_or_empty
-from ._words import U, Words, ngrams, slices
+from ._words import U, Words, mix, ngrams, slices
 
 WINDOW = 35
 PHRASE = 8
@@ -119,10 +119,8 @@ def _marks(live: DataFrame) -> DataFrame:
                 lists = batch.column(1)
                 known = lists.flatten().to_numpy().view(U)
                 of = np.repeat(np.arange(batch.num_rows), np.diff(lists.offsets.to_numpy()))
-                both = np.concatenate([np.stack([of.astype(U), known], 1), np.stack([row.astype(U), anchor], 1)])
-                _, number = np.unique(both, axis=0, return_inverse=True)
-                number = number.ravel()
-                on = np.isin(number[len(known) :], number[: len(known)])
+                name = lambda r, a: mix(a + r.astype(U) * U(0x9E3779B97F4A7C15))
+                on = np.isin(name(row, anchor), name(of, known))
                 start, row, anchor, left = start[on], row[on], anchor[on], left[on]
                 if not len(start):
                     continue
@@ -152,7 +150,7 @@ class PhraseLocator:
             self.automaton.add_word(tuple(np.frombuffer(p, np.uint32).tolist()), i)
         if phrases:
             self.automaton.make_automaton()
-        self.empty = not phrases
+        self.empty = not phrases or not len(windows)
         self.windows = np.unique(windows)
 
     def covered(self, h: np.ndarray) -> np.ndarray:
@@ -166,7 +164,9 @@ class PhraseLocator:
         np.add.at(starts, np.maximum(p - (WINDOW - PHRASE), 0), 1)
         np.add.at(starts, p + 1, -1)
         maybe = np.flatnonzero(np.cumsum(starts)[: n - WINDOW + 1] > 0)
-        hit = maybe[np.isin(ngrams(h, WINDOW)[maybe], self.windows)]
+        wh = ngrams(h, WINDOW)[maybe]
+        at = np.minimum(np.searchsorted(self.windows, wh), len(self.windows) - 1)
+        hit = maybe[self.windows[at] == wh]
         cover = np.zeros(n + 1, np.int64)
         np.add.at(cover, hit, 1)
         np.add.at(cover, hit + WINDOW, -1)
