@@ -1,19 +1,21 @@
 """N-gram Jaccard join by parity sketches.
 
 A document's set is its distinct five-word shingles.  Each shingle's hash is XORed into one word of
-a sketch of 2**20 64-bit words, kept sparsely, and into one bit of a compact sketch of 2048 bits.  A
+a sketch of 64-bit words, whose number fits the size band, and into one bit of a compact sketch.  A
 shingle that only one of two sets holds changes one word and one bit, so the number of differing
 words, and the Hamming distance of the compact sketches, are at most the symmetric difference.  Sets
 of a and b shingles with Jaccard likeness of 3/4 or more differ in at most (a + b) / 7 shingles.
 
-Pigeonhole: of a set's first t + 1 words that are not zero, in any order that all sets share, one
-equals the other set's word at the same place, and it is among the other's first t + 1 as well,
-where t = (n + 4n/3) / 7 bounds the difference for every partner.  So sets meet in an equi-join on
-(size band, place, word).  Very common words come last in the order, so they are seldom used.
+Pigeonhole: take a set's first t + 1 + s words that are not zero, in any order that all sets share,
+where t = (n + 4n/3) / 7 bounds the difference for every partner.  At most t of them differ from the
+other set's, so at least s + 1 are equal, and the first ones of these are among the other's first as
+well.  So sets meet in an equi-join on (size band, place, word), and pairs that meet in fewer than
+s + 1 words are no candidates; s is n / 48.  Words that hold several shingles come first in the
+order and very common ones last, so chance meetings are few.
 
-Meeting sets are not expanded into all pairs: in rounds, each set is verified against the first of
-its bucket, linked sets are merged, and only sets of a bucket that are still in different components
-are compared by compact sketch and verified.  Every link between two components is found.
+Meeting sets are not expanded into all pairs: in a few rounds, each set is verified against the
+member of another component that it meets most, and linked sets are merged; only sets that then
+still meet other components are compared pair by pair.  No link between two components is lost.
 """
 
 from __future__ import annotations
@@ -22,6 +24,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -30,9 +33,14 @@ from ._common import Scratch, broadcast_if_small, components, hash_share, text_o
 from ._words import BASE, INV, U, Words, mix, powers, slices
 
 SHINGLE = 5
-SKETCH_BITS = 2048
-#: Size bands grow by this factor; a set near the end of its band also serves in the next.
-BAND = 8
+#: Sets below this size share one band; above, bands double.  A set near the end of its band also serves in the next.
+SMALL = 128
+#: Words of a sketch per shingle of its band's largest set; the band of small sets has SPARSE words.
+DENSITY, SPARSE = 0.8, 1 << 20
+#: Fewest bits of a compact sketch; it has at least a bit a shingle, in a power of two.
+LEAST_BITS = 512
+#: Rounds of star comparisons before the exact one.
+ROUNDS = 3
 #: Documents sampled to find very common words of sketches, and sampled sets a common one is in.
 SAMPLE, COMMON = 4096, 6
 #: Members of a bucket that are compared with each other in one task; larger buckets are tiled.
@@ -69,35 +77,70 @@ def class_ids(first: np.ndarray, s: np.ndarray) -> np.ndarray:
     return mix(total[first[1:]] - total[first[:-1]] + np.diff(first).astype(U)).view(np.int64)
 
 
-def sketch_words(first: np.ndarray, s: np.ndarray, common: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(owner, item) of each set's first t + 1 sketch words in the shared order."""
-    rows = len(first) - 1
+def roles(n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(set, band) of every band that a set of size n serves in."""
+    band = np.where(n < SMALL, 0, np.floor(np.log2(np.maximum(n, 1))).astype(np.int64) - int(np.log2(SMALL)) + 1)
+    again = np.flatnonzero(4 * n // 3 >= SMALL << band)
+    return np.concatenate([np.arange(len(n)), again]), np.concatenate([band, band[again] + 1])
+
+
+def sketch_words(first: np.ndarray, s: np.ndarray, common: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """(set, item): the words of each set's sketches that are not zero, each hashed with its band and place.
+
+    With ``common``, sorted items that are to come last, only the first t + 1 + s of each sketch.
+    """
     n = np.diff(first)
-    owner = np.repeat(np.arange(rows), n)
-    if not len(s):
-        return owner, s
-    place = s >> U(44)
-    new = np.ones(len(s), bool)
-    new[1:] = (owner[1:] != owner[:-1]) | (place[1:] != place[:-1])
+    which, band = roles(n)
+    size = n[which]
+    role = np.repeat(np.arange(len(which)), size)
+    if not len(role):
+        return role, np.zeros(0, U)
+    x = s[np.arange(len(role)) - np.repeat(np.cumsum(size) - size, size) + np.repeat(first[:-1][which], size)]
+    words = np.where(band == 0, SPARSE, (DENSITY * (SMALL << band)).astype(np.int64)).astype(U)
+    place = ((x >> U(32)) * words[role]) >> U(32)
+    new = np.ones(len(x), bool)
+    new[1:] = (role[1:] != role[:-1]) | (place[1:] != place[:-1])
     at = np.flatnonzero(new)
-    word = np.bitwise_xor.reduceat(mix(s), at)
-    item = mix(word ^ (place[at] * U(0x9E3779B97F4A7C15)))
-    late = np.isin(item, common) if len(common) else np.zeros(len(item), bool)
-    owner = owner[at]
-    order = np.lexsort(((item >> U(1)) | (late.astype(U) << U(63)), owner))
-    owner, item = owner[order], item[order]
-    begin = np.searchsorted(owner, np.arange(rows + 1))
-    t = (n + 4 * n // 3) // 7
-    keep = np.arange(len(item)) - begin[owner] <= t[owner]
-    return owner[keep], item[keep]
-
-
-def parity_sketches(first: np.ndarray, s: np.ndarray) -> np.ndarray:
-    """One row of SKETCH_BITS bits, packed, per set."""
-    rows = len(first) - 1
-    owner = np.repeat(np.arange(rows), np.diff(first))
-    odd = np.bincount(owner * SKETCH_BITS + (mix(s + U(77)) % U(SKETCH_BITS)).astype(np.int64), minlength=rows * SKETCH_BITS) & 1
-    return np.packbits(odd.astype(np.uint8).reshape(rows, SKETCH_BITS), axis=1)
+    word = np.bitwise_xor.reduceat(mix(x), at)
+    alone = np.diff(np.append(at, len(x))) == 1
+    role = role[at]
+    item = mix(word ^ (place[at] * U(0x9E3779B97F4A7C15)) ^ (band[role].astype(U) * U(0xD6E8FEB86659FD93)))
+    if common is None:
+        return which[role], item
+    late = common[np.minimum(np.searchsorted(common, item), len(common) - 1)] == item if len(common) else np.zeros(len(item), bool)
+    order = np.lexsort(((item >> U(2)) | (alone.astype(U) << U(62)) | (late.astype(U) << U(63)), role))
+    role, item = role[order], item[order]
+    begin = np.searchsorted(role, np.arange(len(which)))
+    t = (n + 4 * n // 3) // 7 + n // 48
+    keep = np.arange(len(item)) - begin[role] <= t[which[role]]
+    return which[role[keep]], item[keep]
+
+
+def parity_sketches(first: np.ndarray, s: np.ndarray) -> list[bytes]:
+    """One compact sketch per set: a power of two of bits, at least a bit a shingle."""
+    n = np.diff(first)
+    bits = np.maximum(LEAST_BITS, 1 << np.ceil(np.log2(np.maximum(n, 1))).astype(np.int64))
+    ends = np.cumsum(bits)
+    owner = np.repeat(np.arange(len(n)), n)
+    at = (mix(s + U(77)) & (bits[owner] - 1).astype(U)).astype(np.int64) + (ends - bits)[owner]
+    packed = np.packbits((np.bincount(at, minlength=int(bits.sum())) & 1).astype(np.uint8), bitorder="little").tobytes()
+    return [packed[(e - b) // 8 : e // 8] for e, b in zip(ends.tolist(), bits.tolist(), strict=True)]
+
+
+def fold(sketches: np.ndarray, words: int) -> np.ndarray:
+    """Rows of sketches as sketches of fewer words: parts lie on top of each other, XORed."""
+    return sketches if sketches.shape[1] == words else np.bitwise_xor.reduce(sketches.reshape(len(sketches), -1, words), axis=1)
+
+
+def distances(a: pa.Array, b: pa.Array) -> np.ndarray:
+    """Hamming distances of pairs of compact sketches, each pair at the smaller one's size."""
+    out = np.zeros(len(a), np.int64)
+    la, lb = (pc.binary_length(x).to_numpy(zero_copy_only=False).astype(np.int64) // 8 for x in (a, b))
+    for p, q in set(zip(la.tolist(), lb.tolist(), strict=True)):
+        at = np.flatnonzero((la == p) & (lb == q))
+        x, y = (np.frombuffer(b"".join(v.take(pa.array(at)).to_pylist()), U).reshape(len(at), -1) for v in (a, b))
+        out[at] = np.bitwise_count(fold(x, min(p, q)) ^ fold(y, min(p, q))).sum(axis=1, dtype=np.int64)
+    return out
 
 
 def _common_words(docs: DataFrame) -> np.ndarray:
@@ -109,12 +152,8 @@ def _common_words(docs: DataFrame) -> np.ndarray:
             for batch in slices(whole, 1):
                 first, s = shingle_sets(batch.column(1))
                 ids = class_ids(first, s)
-                owner = np.repeat(np.arange(len(first) - 1), np.diff(first))
-                if len(s):
-                    place = s >> U(44)
-                    at = np.flatnonzero(np.concatenate([[True], (owner[1:] != owner[:-1]) | (place[1:] != place[:-1])]))
-                    item = mix(np.bitwise_xor.reduceat(mix(s), at) ^ (place[at] * U(0x9E3779B97F4A7C15)))
-                    yield pa.RecordBatch.from_arrays([pa.array(item.view(np.int64)), pa.array(ids[owner[at]])], names=["item", "cls"])
+                owner, item = sketch_words(first, s)
+                yield pa.RecordBatch.from_arrays([pa.array(item.view(np.int64)), pa.array(ids[owner])], names=["item", "cls"])
 
     items = map_arrow(sample.repartition(16, "doc_id"), run, "item long, cls long")
     rows = items.distinct().groupBy("item").count().where(F.col("count") >= COMMON).orderBy(F.desc("count"), "item").limit(50_000).collect()
@@ -132,42 +171,35 @@ def _profiles(docs: DataFrame, common: np.ndarray) -> DataFrame:
                 first, s = shingle_sets(batch.column(1))
                 n, ids = np.diff(first), class_ids(first, s)
                 owner, item = sketch_words(first, s, shipped.value)
-                band = np.floor(np.log(np.maximum(n, 1)) / np.log(BAND) + 1e-9).astype(np.int64)
-                again = 4 * n // 3 >= BAND ** (band + 1)
                 # Of copies within this task only one sends its words.
                 fresh = np.array([not (c in seen or seen.add(c)) for c in ids.tolist()]) & (n > 0)
                 if len(seen) > 200_000:
                     seen.clear()
                 on = fresh[owner]
-                owner, item = owner[on], item[on]
-                more = again[owner]
-                owner2 = np.concatenate([owner, owner[more]])
-                level = np.concatenate([band[owner], band[owner[more]] + 1]).astype(U)
-                sig = mix(np.concatenate([item, item[more]]) + level * U(0xD6E8FEB86659FD93)).view(np.int64)
-                order = np.argsort(owner2, kind="stable")
-                offsets = np.searchsorted(owner2[order], np.arange(len(n) + 1)).astype(np.int32)
+                owner, sig = owner[on], item[on].view(np.int64)
+                order = np.argsort(owner, kind="stable")
+                offsets = np.searchsorted(owner[order], np.arange(len(n) + 1)).astype(np.int32)
                 bits = parity_sketches(first, s)
                 none = n == 0
                 yield pa.RecordBatch.from_arrays([
-                    batch.column(0), pa.array(n, pa.int64()), pa.array(ids, mask=none), pa.array([b.tobytes() for b in bits], pa.binary(), mask=none),
+                    batch.column(0), pa.array(n, pa.int64()), pa.array(ids, mask=none), pa.array(bits, pa.binary(), mask=none),
                     pa.ListArray.from_arrays(pa.array(offsets), pa.array(sig[order])),
                 ], names=names)
 
     return map_arrow(docs, run, "doc_id long, n long, cls long, sketch binary, sigs array<long>")
 
 
-def _near(pairs: DataFrame) -> DataFrame:
-    """Of (a, b, na, nb, sa, sb), the pairs (a, b, far) whose sizes and compact sketches allow the likeness."""
+def _near(pairs: DataFrame, classes: DataFrame) -> DataFrame:
+    """Of (a, b), the pairs whose compact sketches allow the likeness."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            na, nb = (batch.column(i).to_numpy() for i in (2, 3))
-            sa, sb = (np.frombuffer(b"".join(batch.column(i).to_pylist()), U).reshape(-1, SKETCH_BITS // 64) for i in (4, 5))
-            far = np.bitwise_count(sa ^ sb).sum(axis=1, dtype=np.int64)
-            ok = (far * 7 <= na + nb) & (np.minimum(na, nb) * 4 >= np.maximum(na, nb) * 3)
-            yield pa.RecordBatch.from_arrays([batch.column(0).filter(pa.array(ok)), batch.column(1).filter(pa.array(ok)), pa.array(far[ok] / np.maximum(na + nb, 1)[ok])], names=["a", "b", "far"])
+            keep = pa.array(distances(batch.column(3), batch.column(4)) * 7 <= batch.column(2).to_numpy())
+            yield pa.RecordBatch.from_arrays([batch.column(i).filter(keep) for i in (0, 1)], names=["a", "b"])
 
-    return map_arrow(pairs.select("a", "b", "na", "nb", "sa", "sb"), run, "a long, b long, far double")
+    side = lambda x: classes.select(F.col("cls").alias(x), F.col("n").alias(f"n{x}"), F.col("sketch").alias(f"s{x}"))
+    known = pairs.join(side("a"), "a").join(side("b"), "b")
+    return map_arrow(known.select("a", "b", (F.col("na") + F.col("nb")).alias("n"), "sa", "sb"), run, "a long, b long")
 
 
 def _verify(pairs: DataFrame, docs: DataFrame, classes: DataFrame, scratch: Scratch) -> DataFrame:
@@ -205,44 +237,37 @@ def _verify(pairs: DataFrame, docs: DataFrame, classes: DataFrame, scratch: Scra
 
 
 def _bucket_pairs(rows: DataFrame) -> DataFrame:
-    """Pairs (a, b) of different components in each (bucket, tile) whose sizes and compact sketches allow the likeness.
+    """Pairs (a, b) of different components and fitting sizes in each (bucket, tile), one row for each bucket they meet in.
 
-    ``rows``: sig, t1, t2, tile, cls, root, n, sketch, sorted by (sig, t1, t2) within partitions; a
-    group has the members of one or two tiles, so at most about twice TILE rows.
+    ``rows``: sig, t1, t2, tile, cls, root, n, sorted by (sig, t1, t2) within partitions; a group has
+    the members of one or two tiles, so at most about twice TILE rows.
     """
 
-    def pairs(key: tuple, group: list[tuple]) -> tuple[np.ndarray, np.ndarray]:
-        tile, cls, root, n = (np.array([g[i] for g in group], np.int64) for i in range(4))
-        bits = np.frombuffer(b"".join(g[4] for g in group), U).reshape(-1, SKETCH_BITS // 64)
-        a, b = [], []
-        for i in range(len(cls) - 1):
-            rest = slice(i + 1, None)
-            ok = (root[rest] != root[i]) & (cls[rest] != cls[i]) & (np.minimum(n[rest], n[i]) * 4 >= np.maximum(n[rest], n[i]) * 3)
-            if key[1] != key[2]:
-                ok &= tile[rest] != tile[i]
-            j = np.flatnonzero(ok) + i + 1
-            if len(j):
-                j = j[np.bitwise_count(bits[j] ^ bits[i]).sum(axis=1, dtype=np.int64) * 7 <= n[j] + n[i]]
-                a.append(np.minimum(cls[j], cls[i]))
-                b.append(np.maximum(cls[j], cls[i]))
-        return (np.concatenate(a), np.concatenate(b)) if a else (np.zeros(0, np.int64), np.zeros(0, np.int64))
+    def pairs(whole: list[np.ndarray], lo: int, hi: int) -> tuple[np.ndarray, np.ndarray] | None:
+        _, t1, t2, tile, cls, root, n = (c[lo:hi] for c in whole)
+        ok = np.triu(root[:, None] != root, 1) & (np.minimum(n[:, None], n) * 4 >= np.maximum(n[:, None], n) * 3)
+        if t1[0] != t2[0]:
+            ok &= tile[:, None] != tile
+        i, j = np.nonzero(ok)
+        return (np.minimum(cls[i], cls[j]), np.maximum(cls[i], cls[j])) if len(i) else None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, group = None, []
+        held: list[np.ndarray] | None = None
         for batch in batches:
-            found: list[tuple[np.ndarray, np.ndarray]] = []
-            for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if row[:3] != key:
-                    if len(group) > 1:
-                        found.append(pairs(key, group))
-                    key, group = row[:3], []
-                group.append(row[3:])
+            now = [c.to_numpy() for c in batch.columns]
+            now = now if held is None else [np.concatenate(x) for x in zip(held, now, strict=True)]
+            if not len(now[0]):
+                continue
+            cuts = np.flatnonzero((np.diff(now[0]) != 0) | (np.diff(now[1]) != 0) | (np.diff(now[2]) != 0)) + 1
+            ends = [0, *cuts.tolist()]
+            found = [x for lo, hi in zip(ends[:-1], ends[1:], strict=True) if hi - lo > 1 and (x := pairs(now, lo, hi))]
             if found:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*found, strict=True)], names=["a", "b"])
-        if len(group) > 1:
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in pairs(key, group)], names=["a", "b"])
+            held = [c[ends[-1] :] for c in now]
+        if held is not None and len(held[0]) > 1 and (x := pairs(held, 0, len(held[0]))):
+            yield pa.RecordBatch.from_arrays([pa.array(v) for v in x], names=["a", "b"])
 
-    return map_arrow(rows, run, "a long, b long").distinct()
+    return map_arrow(rows, run, "a long, b long")
 
 
 def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -264,42 +289,55 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     classes = scratch.save(classes, "classes")
     same = Window.partitionBy("sig")
     met = profiles.select(F.explode("sigs").alias("sig"), "cls").withColumns({"lo": F.min("cls").over(same), "hi": F.max("cls").over(same)})
-    met = scratch.save(met.where("lo < hi").select("sig", "cls", "lo"), "met")
+    met = scratch.save(met.where("lo < hi").select("sig", "cls").distinct(), "met")
     rows = scratch.save(profiles.select("doc_id", "n", "cls"), "rows")
     scratch.drop(profiles)
     scratch.release()
-
-    def known(pairs: DataFrame) -> DataFrame:
-        side = lambda x: classes.select(F.col("cls").alias(x), F.col("n").alias(f"n{x}"), F.col("sketch").alias(f"s{x}"))
-        return pairs.join(side("a"), "a").join(side("b"), "b")
-
-    stars = scratch.save(_near(known(met.where("cls != lo").select(F.col("lo").alias("a"), F.col("cls").alias("b")).distinct())), "stars")
-    nearest = stars.select("a", "b", F.row_number().over(Window.partitionBy("b").orderBy("far", "a")).alias("k")).where("k = 1").select("a", "b")
-    links = _verify(nearest, own, classes, scratch)
-    roots = components(spark, links, "a", "b", scratch)
-
-    def apart(pairs: DataFrame) -> DataFrame:
-        side = lambda x: roots.select(F.col("node").alias(x), F.col("root").alias(f"r{x}"))
-        both = pairs.join(side("a"), "a", "left").join(side("b"), "b", "left")
-        return both.where(F.coalesce("ra", "a") != F.coalesce("rb", "b")).select("a", "b")
-
-    todo = scratch.save(apart(stars.join(nearest, ["a", "b"], "left_anti").select("a", "b")), "todo")
-    if not todo.isEmpty():
-        links = scratch.save(links.unionAll(_verify(todo, own, classes, scratch)), "links")
+    sizes = classes.select("cls", "n")
+    roots = spark.createDataFrame([], "node long, root long")
+    links = tested = spark.createDataFrame([], "a long, b long")
+
+    def apart() -> DataFrame:
+        """Members of buckets where components meet: (sig, cls, root, low), low being a member of the smallest component."""
+        tagged = met.join(roots, F.col("cls") == F.col("node"), "left").select("sig", "cls", F.coalesce("root", "cls").alias("root"))
+        tagged = tagged.withColumns({"low": F.min(F.struct("root", "cls")).over(same), "hi": F.max("root").over(same)})
+        return tagged.where("low.root < hi").select("sig", "cls", "root", "low")
+
+    def enough(pairs: DataFrame) -> DataFrame:
+        """Untested pairs (a, b, met) that fit in size and meet in at least s + 1 words."""
+        side = lambda x: sizes.select(F.col("cls").alias(x), F.col("n").alias(f"n{x}"))
+        known = pairs.groupBy("a", "b").agg(F.count(F.lit(1)).alias("met")).join(side("a"), "a").join(side("b"), "b")
+        fit = (F.least("na", "nb") * 4 >= F.greatest("na", "nb") * 3) & (F.col("met") > F.floor(F.least("na", "nb") / 48))
+        return known.where(fit).select("a", "b", "met").join(tested, ["a", "b"], "left_anti")
+
+    def merge(pairs: DataFrame) -> bool:
+        """Verify pairs and join the components that their links connect."""
+        nonlocal links, tested, roots
+        near = scratch.save(_near(pairs, classes), "near")
+        tested = scratch.save(tested.unionByName(pairs), "tested")
+        if near.isEmpty():
+            return False
+        links = scratch.save(links.unionByName(_verify(near, own, classes, scratch)), "links")
         roots = components(spark, links, "a", "b", scratch)
-
-    tagged = met.select("sig", "cls").distinct().join(roots, F.col("cls") == F.col("node"), "left").select("sig", "cls", F.coalesce("root", "cls").alias("root"))
-    tagged = tagged.withColumns({"lo": F.min("root").over(same), "hi": F.max("root").over(same), "size": F.count(F.lit(1)).over(same)}).where("lo < hi and size > 2")
+        return True
+
+    for _ in range(ROUNDS):
+        held = scratch.save(apart(), "held")
+        stars = held.where("root != low.root").select(F.least("cls", "low.cls").alias("a"), F.greatest("cls", "low.cls").alias("b"), "cls")
+        best = enough(stars.select("a", "b")).join(stars.distinct(), ["a", "b"]).withColumn("k", F.row_number().over(Window.partitionBy("cls").orderBy(F.desc("met"), "a", "b")))
+        best = scratch.save(best.where("k = 1").select("a", "b").distinct(), "best")
+        # Buckets of one component never matter again.
+        met = held.select("sig", "cls")
+        if best.isEmpty() or not merge(best):
+            break
+
+    tagged = apart().join(sizes, "cls").withColumn("size", F.count(F.lit(1)).over(same))
     tiles = F.ceil(F.col("size") / TILE).cast("int")
-    tile = F.pmod(F.xxhash64("cls"), tiles).cast("int")
-    dealt = tagged.withColumn("tile", tile).withColumn("other", F.explode(F.sequence(F.lit(0), tiles - 1)))
-    dealt = dealt.select("sig", F.least("tile", "other").alias("t1"), F.greatest("tile", "other").alias("t2"), "tile", "cls", "root")
-    dealt = dealt.join(classes.select("cls", "n", "sketch"), "cls").select("sig", "t1", "t2", "tile", "cls", "root", "n", "sketch")
-    dealt = dealt.repartition("sig", "t1", "t2").sortWithinPartitions("sig", "t1", "t2")
-    rest = scratch.save(_bucket_pairs(dealt).join(stars.select("a", "b"), ["a", "b"], "left_anti"), "rest")
+    dealt = tagged.withColumns({"tile": F.pmod(F.xxhash64("cls"), tiles).cast("int"), "tiles": tiles}).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
+    dealt = dealt.select("sig", F.least("tile", "other").alias("t1"), F.greatest("tile", "other").alias("t2"), "tile", "cls", "root", "n")
+    rest = scratch.save(enough(_bucket_pairs(dealt.repartition("sig", "t1", "t2").sortWithinPartitions("sig", "t1", "t2"))).select("a", "b"), "rest")
     if not rest.isEmpty():
-        links = scratch.save(links.unionAll(_verify(rest, own, classes, scratch)), "links")
-        roots = components(spark, links, "a", "b", scratch)
+        merge(rest)
 
     placed = classes.join(roots, F.col("cls") == F.col("node"), "left").select("cls", "rep", F.coalesce("root", "cls").alias("root"))
     final = placed.join(placed.groupBy("root").agg(F.min("rep").alias("component")), "root").select("cls", "component")
