@@ -10,9 +10,8 @@ A camera is a struct ``kind STRING, affine ARRAY<DOUBLE>, rpc STRUCT<...>``:
 from __future__ import annotations
 
 import math
-from functools import reduce
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -41,22 +40,25 @@ def monomials(x: Column, y: Column, z: Column) -> list[Column]:
     return [one, x, y, z, x * y, x * z, y * z, x * x, y * y, z * z, x * y * z, x * x * x, x * y * y, x * z * z, x * x * y, y * y * y, y * z * z, x * x * z, y * y * z, z * z * z]
 
 
-def _cubic(coefficients: Column, terms: list[Column]) -> Column:
-    return reduce(lambda a, b: a + b, [coefficients[i] * t for i, t in enumerate(terms)])
+def _rational(camera: Column, lon: Column, lat: Column, h: Column) -> Column:
+    """struct<col, row> of a rational camera.  Lambdas bind the normalized point and its monomials, so each is written once."""
+    r = camera["rpc"]
+    place = F.struct(((lon - r["long_off"]) / r["long_scale"]).alias("x"), ((lat - r["lat_off"]) / r["lat_scale"]).alias("y"), ((h - r["height_off"]) / r["height_scale"]).alias("z"))
+    dot = lambda name, m: F.aggregate(F.zip_with(r[name], m, lambda a, b: a * b), F.lit(0.0), lambda a, b: a + b)
+    pixel = lambda m: F.struct(
+        (r["samp_off"] + r["samp_scale"] * F.try_divide(dot("samp_num", m), dot("samp_den", m))).alias("col"), (r["line_off"] + r["line_scale"] * F.try_divide(dot("line_num", m), dot("line_den", m))).alias("row")
+    )
+    terms = F.transform(F.array(place), lambda p: F.array(*monomials(p["x"], p["y"], p["z"])))
+    return F.transform(terms, pixel)[0]
 
 
 def project(camera: Column, lon: Column, lat: Column, h: Column) -> tuple[Column, Column]:
     """(col, row) of ground points, for either camera kind."""
-    a, r = camera["affine"], camera["rpc"]
+    a = camera["affine"]
     dx, dy = lon - a[0], lat - a[1]
     plain = (a[2] * dx + a[3] * dy + a[4] * h + a[5], a[6] * dx + a[7] * dy + a[8] * h + a[9])
-    t = monomials((lon - r["long_off"]) / r["long_scale"], (lat - r["lat_off"]) / r["lat_scale"], (h - r["height_off"]) / r["height_scale"])
-    rational = (
-        r["samp_off"] + r["samp_scale"] * F.try_divide(_cubic(r["samp_num"], t), _cubic(r["samp_den"], t)),
-        r["line_off"] + r["line_scale"] * F.try_divide(_cubic(r["line_num"], t), _cubic(r["line_den"], t)),
-    )
-    is_affine = camera["kind"] == "affine"
-    return F.when(is_affine, plain[0]).otherwise(rational[0]), F.when(is_affine, plain[1]).otherwise(rational[1])
+    rational, is_affine = _rational(camera, lon, lat, h), camera["kind"] == "affine"
+    return F.when(is_affine, plain[0]).otherwise(rational["col"]), F.when(is_affine, plain[1]).otherwise(rational["row"])
 
 
 def localize_affine(camera: Column, col: Column, row: Column, h: Column) -> tuple[Column, Column]:
@@ -119,12 +121,15 @@ def _krueger() -> tuple[float, float, list[float]]:
 
 def utm(lon: Column, lat: Column, epsg: Column) -> tuple[Column, Column]:
     """(easting, northing) in the UTM zone that an EPSG code names, by the Krueger series (below a millimetre)."""
-    radius, c, alpha = _krueger()
-    zone = epsg % 100
-    phi, dlon = F.radians(lat), F.radians(lon - (zone * 6 - 183))
-    s = F.sin(phi)
+    _, c, _ = _krueger()
+    s = F.sin(F.radians(lat))
     t = F.sinh(F.atanh(s) - c * F.atanh(c * s))
-    xi, eta = F.atan2(t, F.cos(dlon)), F.atanh(F.sin(dlon) / F.sqrt(1 + t * t))
+    dlon = F.radians(lon - ((epsg % 100) * 6 - 183))
+    return _utm_sum(F.atan2(t, F.cos(dlon)), F.atanh(F.sin(dlon) / F.sqrt(1 + t * t)), epsg)
+
+
+def _utm_sum(xi: Column, eta: Column, epsg: Column) -> tuple[Column, Column]:
+    radius, _, alpha = _krueger()
     east, north = eta, xi
     for j, a in enumerate(alpha, 1):
         east = east + a * F.cos(2 * j * xi) * F.sinh(2 * j * eta)
@@ -132,6 +137,27 @@ def utm(lon: Column, lat: Column, epsg: Column) -> tuple[Column, Column]:
     return 500000 + UTM_SCALE * radius * east, F.when(epsg >= 32700, 1e7).otherwise(0.0) + UTM_SCALE * radius * north
 
 
+def with_utm(df: DataFrame, points: dict[str, tuple[str, str]], epsg: str) -> DataFrame:
+    """Columns ``<name>_e`` and ``<name>_n`` of the named (lon, lat) column pairs.
+
+    ``utm`` in steps: each intermediate value is a column of its own, so none is computed twice.
+    """
+    _, c, _ = _krueger()
+    steps: list[dict[str, Column]] = [{}, {}, {}, {}]
+    for name, (lon, lat) in points.items():
+        k = f"{name}__"
+        s = F.col(f"{k}s")
+        steps[0] |= {f"{k}s": F.sin(F.radians(lat)), f"{k}d": F.radians(F.col(lon) - ((F.col(epsg) % 100) * 6 - 183))}
+        steps[1] |= {f"{k}t": F.sinh(F.atanh(s) - c * F.atanh(c * s))}
+        t, d = F.col(f"{k}t"), F.col(f"{k}d")
+        steps[2] |= {f"{k}x": F.atan2(t, F.cos(d)), f"{k}h": F.atanh(F.sin(d) / F.sqrt(1 + t * t))}
+        east, north = _utm_sum(F.col(f"{k}x"), F.col(f"{k}h"), F.col(epsg))
+        steps[3] |= {f"{name}_e": east, f"{name}_n": north}
+    for step in steps:
+        df = df.withColumns(step)
+    return df.drop(*[f"{name}__{k}" for name in points for k in "sdtxh"])
+
+
 def boundary(width: Column, height: Column) -> Column:
     """Points (col, row) around an image at quarter steps, clockwise from the top left; repeats are dropped."""
     w, h, k = (width - 1).cast("double"), (height - 1).cast("double"), SIDE_STEPS

@@ -235,8 +235,9 @@ def ground_distance(matches: DataFrame, images: DataFrame, h_ref: float = 0.0) -
     ends = {s: geo.localize_affine(F.col(f"camera_{s}"), F.col(f"col_{s}"), F.col(f"row_{s}"), F.lit(h_ref)) for s in "ij"}
     placed = joined.withColumns({f"{n}_{s}": c for s, e in ends.items() for n, c in zip(("lon", "lat"), e, strict=True)})
     placed = placed.withColumn("epsg", geo.utm_epsg(F.col("lon_i"), F.col("lat_i")))
-    (xi, yi), (xj, yj) = (geo.utm(F.col(f"lon_{s}"), F.col(f"lat_{s}"), F.col("epsg")) for s in "ij")
-    return placed.withColumn("metres", F.sqrt((xi - xj) * (xi - xj) + (yi - yj) * (yi - yj))).select(*matches.columns, "metres")
+    placed = geo.with_utm(placed, {"i": ("lon_i", "lat_i"), "j": ("lon_j", "lat_j")}, "epsg")
+    dx, dy = F.col("i_e") - F.col("j_e"), F.col("i_n") - F.col("j_n")
+    return placed.withColumn("metres", F.sqrt(dx * dx + dy * dy)).select(*matches.columns, "metres")
 
 
 def geo_filter(matches: DataFrame, images: DataFrame, threshold: float = 100.0, h_ref: float = 0.0) -> DataFrame:
@@ -260,3 +261,26 @@ def match_summary(stats: DataFrame, total_pairs: int) -> DataFrame:
     out = kept.agg(F.count(F.lit(1)).alias("processed_pairs"), F.coalesce(F.avg("geo_filtered"), F.lit(0.0)).alias("average_matches"))
     total = F.lit(total_pairs).cast("long")
     return out.select(total.alias("total_pairs"), "processed_pairs", (total - F.col("processed_pairs")).alias("dropped_pairs"), "average_matches")
+
+
+def geo_filter_any(matches: DataFrame, images: DataFrame, threshold: float = 100.0, h_ref: float = 0.0) -> DataFrame:
+    """``geo_filter`` for cameras of any kind: ends are localized in vectorized batches, distances stay Column arithmetic."""
+    from .triangulate import cameras_of
+
+    spark = matches.sparkSession
+    ship(spark)
+    shipped = spark.sparkContext.broadcast({i: c[0] for i, c in cameras_of(images).items()})
+
+    @F.pandas_udf("lon double, lat double")
+    def ground(image: pd.Series, col: pd.Series, row: pd.Series) -> pd.DataFrame:
+        lon, lat = np.full(len(image), np.nan), np.full(len(image), np.nan)
+        for i in image.unique():
+            at = (image == i).to_numpy()
+            lon[at], lat[at] = shipped.value[i].localize(col[at].to_numpy(), row[at].to_numpy(), h_ref)
+        return pd.DataFrame({"lon": lon, "lat": lat})
+
+    ends = matches.withColumns({f"g_{s}": ground(f"image_{s}", f"col_{s}", f"row_{s}") for s in "ij"})
+    placed = ends.withColumns({f"{n}_{s}": F.col(f"g_{s}.{n}") for s in "ij" for n in ("lon", "lat")}).where("not isnan(lon_i) and not isnan(lon_j)")
+    placed = geo.with_utm(placed.withColumn("epsg", geo.utm_epsg(F.col("lon_i"), F.col("lat_i"))), {"i": ("lon_i", "lat_i"), "j": ("lon_j", "lat_j")}, "epsg")
+    dx, dy = F.col("i_e") - F.col("j_e"), F.col("i_n") - F.col("j_n")
+    return placed.where(F.sqrt(dx * dx + dy * dy) < threshold).select(*matches.columns)

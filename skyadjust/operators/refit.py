@@ -2,16 +2,23 @@
 
 from __future__ import annotations
 
+import json
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import geo
+from ..functions.kernels import Camera
+from ..shipping import ship
 from .adjust import PARAMS
 
 
 def world_grid(images: DataFrame, size: int = 10, h_min: float = -100.0, h_max: float = 100.0) -> DataFrame:
     """(image_id, camera, width, height, col, row, h, lon, lat): size**3 nodes per image, localized (affine cameras)."""
-    w, h = (F.col(c).cast("double") - 1 for c in ("width", "height"))
+    w, h = (F.greatest(F.col(c).cast("double") - 1, F.lit(1.0)) for c in ("width", "height"))
     nodes = images.select("image_id", "camera", "width", "height", F.explode(geo.linspace(F.lit(0.0), w, size)).alias("col"))
     nodes = nodes.select("*", F.explode(geo.linspace(F.lit(0.0), h, size)).alias("row"))
     nodes = nodes.select("*", F.explode(geo.linspace(F.lit(h_min), F.lit(h_max), size)).alias("h"))
@@ -48,4 +55,26 @@ def refit(images: DataFrame, params: DataFrame, size: int = 10) -> DataFrame:
             found[n] = F.try_divide(det([[F.col(f"{d}{i}") if j == k else m[i][j] for j in range(3)] for i in range(3)]), F.col("det"))
     solved = solved.withColumns(found)
     left = [F.col(f"{d}_2") - sum((F.col(n) * F.col(f"{d}{i}") for i, n in enumerate(names)), F.lit(0.0)) for d, names in (("dc", PARAMS[:3]), ("dr", PARAMS[3:]))]
-    return solved.select("image_id", *PARAMS, F.sqrt(F.greatest(left[0] + left[1], F.lit(0.0)) / (2 * F.col("n00"))).alias("rmse_pixel"))
+    return solved.select("image_id", *PARAMS, F.sqrt(F.greatest(left[0] + left[1], F.lit(0.0)) / F.col("n00")).alias("rmse_pixel"))
+
+
+def refit_any(images: DataFrame, params: DataFrame, size: int = 10) -> DataFrame:
+    """``refit`` for cameras of any kind: grid nodes are localized by Newton steps, one image a group of size**3 nodes."""
+    ship(images.sparkSession)
+    rows = images.join(F.broadcast(params), "image_id").select("image_id", "width", "height", F.to_json("camera").alias("camera"), *PARAMS)
+
+    def fit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            out = []
+            for r in pdf.itertuples(index=False):
+                camera = Camera.of({"affine": None, "rpc": None} | json.loads(r.camera))
+                col, row, h = (a.ravel() for a in np.meshgrid(np.linspace(0, max(r.width - 1, 1), size), np.linspace(0, max(r.height - 1, 1), size), np.linspace(-100, 100, size)))
+                lon, lat = camera.localize(col, row, h)
+                c, q = camera.project(lon, lat, h)
+                a = np.stack([np.ones_like(c), (c - r.width / 2) / max(r.width / 2, 1), (q - r.height / 2) / max(r.height / 2, 1)], 1)
+                wanted = a @ np.array([[r.a0, r.b0], [r.a1, r.b1], [r.a2, r.b2]])
+                found = np.linalg.lstsq(a, wanted, rcond=None)[0]
+                out.append((r.image_id, *found[:, 0], *found[:, 1], float(np.sqrt(((a @ found - wanted) ** 2).sum(1).mean()))))
+            yield pd.DataFrame(out, columns=["image_id", *PARAMS, "rmse_pixel"])
+
+    return rows.mapInPandas(fit, "image_id int, " + ", ".join(f"{p} double" for p in PARAMS) + ", rmse_pixel double")

@@ -1,0 +1 @@
+"""Whole stages put together, and the catalogue of registered queries."""

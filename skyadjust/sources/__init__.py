@@ -1,0 +1 @@
+"""Readers and writers of images, cameras, stage artefacts and configuration."""

@@ -1,0 +1 @@
+"""Empty: the engine's inputs are bounded tables, and no operator of it is a stream."""
