@@ -43,8 +43,10 @@ LEAST_BITS = 512
 ROUNDS = 3
 #: Documents sampled to find very common words of sketches, and sampled sets a common one is in.
 SAMPLE, COMMON = 4096, 6
-#: Members of a bucket that are compared with each other in one task; larger buckets are tiled.
-TILE = 512
+#: Buckets with more members than this are compared together, by the parts that they connect.
+HOT = 64
+#: Members of such a part that are compared with each other in one task; larger parts are tiled.
+TILE = 1024
 
 
 def shingle_sets(texts: pa.Array, size: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
@@ -236,36 +238,84 @@ def _verify(pairs: DataFrame, docs: DataFrame, classes: DataFrame, scratch: Scra
     return out
 
 
+def _groups(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[tuple[list, int, int]]:
+    """(columns, start, stop) of every group of a stream sorted by its first ``keys`` columns, which are longs or ints."""
+    held: pa.RecordBatch | None = None
+    for batch in batches:
+        now = batch if held is None else pa.concat_batches([held, batch])
+        if not now.num_rows:
+            continue
+        cols = [now.column(i) for i in range(now.num_columns)]
+        new = np.zeros(now.num_rows - 1, bool)
+        for c in cols[:keys]:
+            new |= np.diff(c.to_numpy()) != 0
+        ends = [0, *(np.flatnonzero(new) + 1).tolist()]
+        for lo, hi in zip(ends[:-1], ends[1:], strict=True):
+            if hi - lo > 1:
+                yield cols, lo, hi
+        held = now.slice(ends[-1])
+    if held is not None and held.num_rows > 1:
+        yield [held.column(i) for i in range(held.num_columns)], 0, held.num_rows
+
+
+def _fit(n: np.ndarray, m: np.ndarray) -> np.ndarray:
+    return np.minimum(n[:, None], m) * 4 >= np.maximum(n[:, None], m) * 3
+
+
 def _bucket_pairs(rows: DataFrame) -> DataFrame:
-    """Pairs (a, b) of different components and fitting sizes in each (bucket, tile), one row for each bucket they meet in.
+    """Pairs (a, b, s) of different components and fitting sizes, one row for each bucket of at most HOT members that they meet in.
 
-    ``rows``: sig, t1, t2, tile, cls, root, n, sorted by (sig, t1, t2) within partitions; a group has
-    the members of one or two tiles, so at most about twice TILE rows.
+    ``rows``: sig, cls, root, n, sorted by sig within partitions.
     """
 
-    def pairs(whole: list[np.ndarray], lo: int, hi: int) -> tuple[np.ndarray, np.ndarray] | None:
-        _, t1, t2, tile, cls, root, n = (c[lo:hi] for c in whole)
-        ok = np.triu(root[:, None] != root, 1) & (np.minimum(n[:, None], n) * 4 >= np.maximum(n[:, None], n) * 3)
-        if t1[0] != t2[0]:
-            ok &= tile[:, None] != tile
-        i, j = np.nonzero(ok)
-        return (np.minimum(cls[i], cls[j]), np.maximum(cls[i], cls[j])) if len(i) else None
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found, held = [], 0
+        for cols, lo, hi in _groups(batches, 1):
+            cls, root, n = (c.slice(lo, hi - lo).to_numpy() for c in cols[1:])
+            i, j = np.nonzero(np.triu(root[:, None] != root, 1) & _fit(n, n))
+            if len(i):
+                found.append((np.minimum(cls[i], cls[j]), np.maximum(cls[i], cls[j]), np.minimum(n[i], n[j]) // 48))
+                held += len(i)
+            if held > 50_000:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*found, strict=True)], names=["a", "b", "s"])
+                found, held = [], 0
+        if found:
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*found, strict=True)], names=["a", "b", "s"])
+
+    return map_arrow(rows, run, "a long, b long, s int")
+
+
+def _part_pairs(rows: DataFrame) -> DataFrame:
+    """Pairs (a, b) of different components whose sizes and compact sketches allow the likeness, of parts cut into tiles.
+
+    ``rows``: part, t1, t2, tile, cls, root, n, sketch, sorted by (part, t1, t2) within partitions; a
+    group has the members of one or two tiles.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[np.ndarray] | None = None
-        for batch in batches:
-            now = [c.to_numpy() for c in batch.columns]
-            now = now if held is None else [np.concatenate(x) for x in zip(held, now, strict=True)]
-            if not len(now[0]):
-                continue
-            cuts = np.flatnonzero((np.diff(now[0]) != 0) | (np.diff(now[1]) != 0) | (np.diff(now[2]) != 0)) + 1
-            ends = [0, *cuts.tolist()]
-            found = [x for lo, hi in zip(ends[:-1], ends[1:], strict=True) if hi - lo > 1 and (x := pairs(now, lo, hi))]
+        for cols, lo, hi in _groups(batches, 3):
+            one = cols[1][lo].as_py() == cols[2][lo].as_py()
+            tile, cls, root, n = (c.slice(lo, hi - lo).to_numpy() for c in cols[3:7])
+            raw = cols[7].slice(lo, hi - lo)
+            words = pc.binary_length(raw).to_numpy(zero_copy_only=False).astype(np.int64) // 8
+            found = []
+            for p in np.unique(words).tolist():
+                at = np.flatnonzero(words == p)
+                x = np.frombuffer(b"".join(raw.take(pa.array(at)).to_pylist()), U).reshape(len(at), p)
+                for q in (p, 2 * p):
+                    on = np.flatnonzero(words == q)
+                    if not len(on):
+                        continue
+                    y = fold(np.frombuffer(b"".join(raw.take(pa.array(on)).to_pylist()), U).reshape(len(on), q), p)
+                    for k, i in enumerate(at.tolist()):
+                        ok = (root[on] != root[i]) & (np.minimum(n[on], n[i]) * 4 >= np.maximum(n[on], n[i]) * 3)
+                        ok &= (on > i if q == p else True) & (one or tile[on] != tile[i])
+                        j = np.flatnonzero(ok)
+                        if len(j):
+                            j = j[np.bitwise_count(y[j] ^ x[k]).sum(axis=1, dtype=np.int64) * 7 <= n[on[j]] + n[i]]
+                            found.append((np.minimum(cls[on[j]], cls[i]), np.maximum(cls[on[j]], cls[i])))
             if found:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*found, strict=True)], names=["a", "b"])
-            held = [c[ends[-1] :] for c in now]
-        if held is not None and len(held[0]) > 1 and (x := pairs(held, 0, len(held[0]))):
-            yield pa.RecordBatch.from_arrays([pa.array(v) for v in x], names=["a", "b"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(v)) for v in zip(*found, strict=True)], names=["a", "b"])
 
     return map_arrow(rows, run, "a long, b long")
 
@@ -288,27 +338,24 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     classes = profiles.where("cls is not null").groupBy("cls").agg(F.min("doc_id").alias("rep"), F.min("n").alias("n"), F.min("sketch").alias("sketch"))
     classes = scratch.save(classes, "classes")
     same = Window.partitionBy("sig")
-    met = profiles.select(F.explode("sigs").alias("sig"), "cls").withColumns({"lo": F.min("cls").over(same), "hi": F.max("cls").over(same)})
-    met = scratch.save(met.where("lo < hi").select("sig", "cls").distinct(), "met")
+    size = F.col("n").cast("int").alias("n")
+    met = profiles.select(F.explode("sigs").alias("sig"), "cls", size).withColumns({"lo": F.min("cls").over(same), "hi": F.max("cls").over(same)})
+    met = scratch.save(met.where("lo < hi").select("sig", "cls", "n").distinct(), "met")
     rows = scratch.save(profiles.select("doc_id", "n", "cls"), "rows")
     scratch.drop(profiles)
     scratch.release()
-    sizes = classes.select("cls", "n")
     roots = spark.createDataFrame([], "node long, root long")
     links = tested = spark.createDataFrame([], "a long, b long")
 
     def apart() -> DataFrame:
-        """Members of buckets where components meet: (sig, cls, root, low), low being a member of the smallest component."""
-        tagged = met.join(roots, F.col("cls") == F.col("node"), "left").select("sig", "cls", F.coalesce("root", "cls").alias("root"))
-        tagged = tagged.withColumns({"low": F.min(F.struct("root", "cls")).over(same), "hi": F.max("root").over(same)})
-        return tagged.where("low.root < hi").select("sig", "cls", "root", "low")
+        """Members of buckets where components meet: (sig, cls, n, root, low, size), low being a member of the smallest component."""
+        tagged = met.join(roots, F.col("cls") == F.col("node"), "left").select("sig", "cls", "n", F.coalesce("root", "cls").alias("root"))
+        tagged = tagged.withColumns({"low": F.min(F.struct("root", "cls", "n")).over(same), "hi": F.max("root").over(same), "size": F.count(F.lit(1)).over(same)})
+        return tagged.where("low.root < hi").drop("hi")
 
     def enough(pairs: DataFrame) -> DataFrame:
-        """Untested pairs (a, b, met) that fit in size and meet in at least s + 1 words."""
-        side = lambda x: sizes.select(F.col("cls").alias(x), F.col("n").alias(f"n{x}"))
-        known = pairs.groupBy("a", "b").agg(F.count(F.lit(1)).alias("met")).join(side("a"), "a").join(side("b"), "b")
-        fit = (F.least("na", "nb") * 4 >= F.greatest("na", "nb") * 3) & (F.col("met") > F.floor(F.least("na", "nb") / 48))
-        return known.where(fit).select("a", "b", "met").join(tested, ["a", "b"], "left_anti")
+        """Untested pairs (a, b, met) of (a, b, s) that meet in at least s + 1 words."""
+        return pairs.groupBy("a", "b").agg(F.count(F.lit(1)).alias("met"), F.min("s").alias("s")).where("met > s").select("a", "b", "met").join(tested, ["a", "b"], "left_anti")
 
     def merge(pairs: DataFrame) -> bool:
         """Verify pairs and join the components that their links connect."""
@@ -323,19 +370,28 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
 
     for _ in range(ROUNDS):
         held = scratch.save(apart(), "held")
-        stars = held.where("root != low.root").select(F.least("cls", "low.cls").alias("a"), F.greatest("cls", "low.cls").alias("b"), "cls")
-        best = enough(stars.select("a", "b")).join(stars.distinct(), ["a", "b"]).withColumn("k", F.row_number().over(Window.partitionBy("cls").orderBy(F.desc("met"), "a", "b")))
-        best = scratch.save(best.where("k = 1").select("a", "b").distinct(), "best")
         # Buckets of one component never matter again.
-        met = held.select("sig", "cls")
+        met = held.select("sig", "cls", "n")
+        fit = F.least("n", "low.n") * 4 >= F.greatest("n", "low.n") * 3
+        stars = held.where(F.col("root") != F.col("low.root")).where(fit).select(F.least("cls", "low.cls").alias("a"), F.greatest("cls", "low.cls").alias("b"), F.floor(F.least("n", "low.n") / 48).cast("int").alias("s"))
+        best = enough(stars)
+        best = best.select(F.explode(F.array("a", "b")).alias("of"), "a", "b", "met").withColumn("k", F.row_number().over(Window.partitionBy("of").orderBy(F.desc("met"), "a", "b")))
+        best = scratch.save(best.where("k = 1").select("a", "b").distinct(), "best")
         if best.isEmpty() or not merge(best):
             break
 
-    tagged = apart().join(sizes, "cls").withColumn("size", F.count(F.lit(1)).over(same))
-    tiles = F.ceil(F.col("size") / TILE).cast("int")
-    dealt = tagged.withColumns({"tile": F.pmod(F.xxhash64("cls"), tiles).cast("int"), "tiles": tiles}).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
-    dealt = dealt.select("sig", F.least("tile", "other").alias("t1"), F.greatest("tile", "other").alias("t2"), "tile", "cls", "root", "n")
-    rest = scratch.save(enough(_bucket_pairs(dealt.repartition("sig", "t1", "t2").sortWithinPartitions("sig", "t1", "t2"))).select("a", "b"), "rest")
+    last = scratch.save(apart(), "apart")
+    few = last.where(F.col("size") <= HOT).select("sig", "cls", "root", "n")
+    few = enough(_bucket_pairs(few.repartition("sig").sortWithinPartitions("sig"))).select("a", "b")
+    hot = last.where(F.col("size") > HOT)
+    part = components(spark, hot.select("cls", F.col("low.cls").alias("low")), "cls", "low", scratch)
+    part = part.select(F.col("node").alias("cls"), F.col("root").alias("part"))
+    members = hot.select("cls", "root", "n").distinct().join(part, "cls")
+    tiles = members.groupBy("part").agg(F.ceil(F.count(F.lit(1)) / TILE).cast("int").alias("tiles"))
+    dealt = members.join(tiles, "part").withColumn("tile", F.pmod(F.xxhash64("cls"), F.col("tiles")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
+    dealt = dealt.join(classes.select("cls", "sketch"), "cls").select("part", F.least("tile", "other").alias("t1"), F.greatest("tile", "other").alias("t2"), "tile", "cls", "root", "n", "sketch")
+    many = _part_pairs(dealt.repartition("part", "t1", "t2").sortWithinPartitions("part", "t1", "t2")).join(tested, ["a", "b"], "left_anti")
+    rest = scratch.save(few.unionByName(many).distinct(), "rest")
     if not rest.isEmpty():
         merge(rest)
 
