@@ -14,9 +14,17 @@ from pyspark.sql import DataFrame, SparkSession
 _SENT: set[str] = set()
 
 
+#: Rows and bytes of an Arrow batch where the session has Spark's own defaults: long texts make 10,000 rows a
+#: batch of tens of megabytes, held several times outside the heap by each task.
+BATCH = {"spark.sql.execution.arrow.maxRecordsPerBatch": ("10000", "1000"), "spark.sql.execution.arrow.maxBytesPerBatch": (None, "8388608")}
+
+
 def ship(spark: SparkSession) -> None:
-    """Send this package to the executors, once per application, as a zip that workers import from."""
+    """Send this package to the executors, once per application, as a zip that workers import from; and bound Arrow batches."""
     sc = spark.sparkContext
+    for key, (default, ours) in BATCH.items():
+        if default is None or spark.conf.get(key, default) == default:
+            spark.conf.set(key, ours)
     if sc.applicationId in _SENT:
         return
     root = Path(__file__).resolve().parent
