@@ -86,7 +86,7 @@ def test_sketch_distance_is_a_lower_bound(prose):
     for i in range(0, len(texts), 2):
         a, b = (set(s[first[k] : first[k + 1]].tolist()) for k in (i, i + 1))
         far = jaccard.distances(bits.slice(i, 1), bits.slice(i + 1, 1))[0]
-        assert 0 < far <= len(a ^ b)
+        assert (far > 0) == (a != b) and far <= len(a ^ b)
 
 
 def test_pigeonhole_leaves_enough_words():
