@@ -10,8 +10,9 @@ A camera is a struct ``kind STRING, affine ARRAY<DOUBLE>, rpc STRUCT<...>``:
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -119,43 +120,33 @@ def _krueger() -> tuple[float, float, list[float]]:
     return radius, 2 * math.sqrt(n) / (1 + n), alpha
 
 
-def utm(lon: Column, lat: Column, epsg: Column) -> tuple[Column, Column]:
-    """(easting, northing) in the UTM zone that an EPSG code names, by the Krueger series (below a millimetre)."""
-    _, c, _ = _krueger()
-    s = F.sin(F.radians(lat))
-    t = F.sinh(F.atanh(s) - c * F.atanh(c * s))
-    dlon = F.radians(lon - ((epsg % 100) * 6 - 183))
-    return _utm_sum(F.atan2(t, F.cos(dlon)), F.atanh(F.sin(dlon) / F.sqrt(1 + t * t)), epsg)
-
-
-def _utm_sum(xi: Column, eta: Column, epsg: Column) -> tuple[Column, Column]:
-    radius, _, alpha = _krueger()
-    east, north = eta, xi
-    for j, a in enumerate(alpha, 1):
-        east = east + a * F.cos(2 * j * xi) * F.sinh(2 * j * eta)
-        north = north + a * F.sin(2 * j * xi) * F.cosh(2 * j * eta)
-    return 500000 + UTM_SCALE * radius * east, F.when(epsg >= 32700, 1e7).otherwise(0.0) + UTM_SCALE * radius * north
-
-
-def with_utm(df: DataFrame, points: dict[str, tuple[str, str]], epsg: str) -> DataFrame:
-    """Columns ``<name>_e`` and ``<name>_n`` of the named (lon, lat) column pairs.
-
-    ``utm`` in steps: each intermediate value is a column of its own, so none is computed twice.
-    """
-    _, c, _ = _krueger()
-    steps: list[dict[str, Column]] = [{}, {}, {}, {}]
-    for name, (lon, lat) in points.items():
-        k = f"{name}__"
-        s = F.col(f"{k}s")
-        steps[0] |= {f"{k}s": F.sin(F.radians(lat)), f"{k}d": F.radians(F.col(lon) - ((F.col(epsg) % 100) * 6 - 183))}
-        steps[1] |= {f"{k}t": F.sinh(F.atanh(s) - c * F.atanh(c * s))}
-        t, d = F.col(f"{k}t"), F.col(f"{k}d")
-        steps[2] |= {f"{k}x": F.atan2(t, F.cos(d)), f"{k}h": F.atanh(F.sin(d) / F.sqrt(1 + t * t))}
-        east, north = _utm_sum(F.col(f"{k}x"), F.col(f"{k}h"), F.col(epsg))
-        steps[3] |= {f"{name}_e": east, f"{name}_n": north}
-    for step in steps:
-        df = df.withColumns(step)
-    return df.drop(*[f"{name}__{k}" for name in points for k in "sdtxh"])
+def bind(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of ``value``, computed once however often the body names it, also where a filter is pushed through."""
+    return F.transform(F.array(value), body)[0]
+
+
+def utm(lon: Column, lat: Column, epsg: Column) -> Column:
+    """struct<e, n>: easting and northing in the UTM zone that an EPSG code names, by the Krueger series (below a millimetre)."""
+    radius, c, alpha = _krueger()
+    start = F.struct(F.sin(F.radians(lat)).alias("s"), F.radians(lon - ((epsg % 100) * 6 - 183)).alias("d"), F.when(epsg >= 32700, 1e7).otherwise(0.0).alias("f"))
+    conformal = bind(start, lambda p: F.struct(F.sinh(F.atanh(p["s"]) - c * F.atanh(c * p["s"])).alias("t"), p["d"].alias("d"), p["f"].alias("f")))
+    sphere = bind(conformal, lambda p: F.struct(F.atan2(p["t"], F.cos(p["d"])).alias("xi"), F.atanh(F.sin(p["d"]) / F.sqrt(1 + p["t"] * p["t"])).alias("eta"), p["f"].alias("f")))
+
+    def series(p: Column) -> Column:
+        east, north = p["eta"], p["xi"]
+        for j, a in enumerate(alpha, 1):
+            east = east + a * F.cos(2 * j * p["xi"]) * F.sinh(2 * j * p["eta"])
+            north = north + a * F.sin(2 * j * p["xi"]) * F.cosh(2 * j * p["eta"])
+        return F.struct((500000 + UTM_SCALE * radius * east).alias("e"), (p["f"] + UTM_SCALE * radius * north).alias("n"))
+
+    return bind(sphere, series)
+
+
+def utm_distance(lon_a: Column, lat_a: Column, lon_b: Column, lat_b: Column) -> Column:
+    """Metres between two points in the UTM zone of the first."""
+    epsg = utm_epsg(lon_a, lat_a)
+    ends = F.struct(utm(lon_a, lat_a, epsg).alias("a"), utm(lon_b, lat_b, epsg).alias("b"))
+    return bind(ends, lambda p: F.hypot(p["a"]["e"] - p["b"]["e"], p["a"]["n"] - p["b"]["n"]))
 
 
 def boundary(width: Column, height: Column) -> Column:

@@ -234,10 +234,7 @@ def ground_distance(matches: DataFrame, images: DataFrame, h_ref: float = 0.0) -
     joined = matches.join(side("i"), "image_i").join(side("j"), "image_j")
     ends = {s: geo.localize_affine(F.col(f"camera_{s}"), F.col(f"col_{s}"), F.col(f"row_{s}"), F.lit(h_ref)) for s in "ij"}
     placed = joined.withColumns({f"{n}_{s}": c for s, e in ends.items() for n, c in zip(("lon", "lat"), e, strict=True)})
-    placed = placed.withColumn("epsg", geo.utm_epsg(F.col("lon_i"), F.col("lat_i")))
-    placed = geo.with_utm(placed, {"i": ("lon_i", "lat_i"), "j": ("lon_j", "lat_j")}, "epsg")
-    dx, dy = F.col("i_e") - F.col("j_e"), F.col("i_n") - F.col("j_n")
-    return placed.withColumn("metres", F.sqrt(dx * dx + dy * dy)).select(*matches.columns, "metres")
+    return placed.withColumn("metres", geo.utm_distance(*[F.col(f"{n}_{s}") for s in "ij" for n in ("lon", "lat")])).select(*matches.columns, "metres")
 
 
 def geo_filter(matches: DataFrame, images: DataFrame, threshold: float = 100.0, h_ref: float = 0.0) -> DataFrame:
@@ -281,6 +278,4 @@ def geo_filter_any(matches: DataFrame, images: DataFrame, threshold: float = 100
 
     ends = matches.withColumns({f"g_{s}": ground(f"image_{s}", f"col_{s}", f"row_{s}") for s in "ij"})
     placed = ends.withColumns({f"{n}_{s}": F.col(f"g_{s}.{n}") for s in "ij" for n in ("lon", "lat")}).where("not isnan(lon_i) and not isnan(lon_j)")
-    placed = geo.with_utm(placed.withColumn("epsg", geo.utm_epsg(F.col("lon_i"), F.col("lat_i"))), {"i": ("lon_i", "lat_i"), "j": ("lon_j", "lat_j")}, "epsg")
-    dx, dy = F.col("i_e") - F.col("j_e"), F.col("i_n") - F.col("j_n")
-    return placed.where(F.sqrt(dx * dx + dy * dy) < threshold).select(*matches.columns)
+    return placed.where(geo.utm_distance(*[F.col(f"{n}_{s}") for s in "ij" for n in ("lon", "lat")]) < threshold).select(*matches.columns)

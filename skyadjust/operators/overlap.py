@@ -44,8 +44,7 @@ def footprints(images: DataFrame, h_ref: float = 0.0, common_zone: int | None =
     epsg = geo.utm_epsg(F.col("ring")[0]["x"], F.col("ring")[0]["y"]) if common_zone is None else F.lit(common_zone)
 
     def metres(p):
-        east, north = geo.utm(p["x"], p["y"], F.col("epsg"))
-        return F.struct(east.alias("x"), north.alias("y"))
+        return geo.bind(geo.utm(p["x"], p["y"], F.col("epsg")), lambda q: F.struct(q["e"].alias("x"), q["n"].alias("y")))
 
     return rings.withColumn("epsg", epsg).select("image_id", F.transform("ring", metres).alias("ring"))
 

@@ -182,8 +182,8 @@ SELECT image_id, round(5e5 + 9996e-4 * a * (eta + a1 * cos(2 * xi) * sinh(2 * et
 def utm_forward(spark, sf_dir):
     a = F.col("camera.affine")
     corner = tb.images(spark, sf_dir).select("image_id", a[0].alias("lon"), a[1].alias("lat")).withColumn("epsg", geo.utm_epsg(F.col("lon"), F.col("lat")))
-    east, north = F.col("p_e"), F.col("p_n")
-    return geo.with_utm(corner, {"p": ("lon", "lat")}, "epsg").select("image_id", exact(east, 3).alias("easting"), exact(north, 3).alias("northing"))
+    place = corner.select("image_id", geo.utm(F.col("lon"), F.col("lat"), F.col("epsg")).alias("p"))
+    return place.select("image_id", exact(F.col("p.e"), 3).alias("easting"), exact(F.col("p.n"), 3).alias("northing"))
 
 
 @query("images boxes pairs", f"SELECT image_i, image_j, round(overlap, 6) AS overlap FROM pairs WHERE overlap >= {MIN_OVERLAP}")

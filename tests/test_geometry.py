@@ -78,11 +78,10 @@ def test_boundary(spark):
 
 def test_utm(spark):
     df = spark.createDataFrame([(9.0, 45.0), (9.0, -45.0), (179.999, 0.0), (180.0, 0.0), (-180.0, 1.0)], "lon double, lat double").withColumn("epsg", geo.utm_epsg(F.col("lon"), F.col("lat")))
-    rows = geo.with_utm(df, {"p": ("lon", "lat")}, "epsg").withColumns(dict(zip(("e2", "n2"), geo.utm(F.col("lon"), F.col("lat"), F.col("epsg")), strict=True))).collect()
+    rows = df.select("epsg", geo.utm(F.col("lon"), F.col("lat"), F.col("epsg")).alias("p")).collect()
     assert [r["epsg"] for r in rows] == [32632, 32732, 32660, 32661, 32601]
-    assert rows[0]["p_e"] == pytest.approx(500000) and rows[0]["p_n"] == pytest.approx(4982950.400, abs=2e-3)
-    assert rows[1]["p_n"] == pytest.approx(1e7 - 4982950.400, abs=2e-3)
-    assert all(r["p_e"] == pytest.approx(r["e2"]) and r["p_n"] == pytest.approx(r["n2"]) for r in rows)
+    assert rows[0]["p"]["e"] == pytest.approx(500000) and rows[0]["p"]["n"] == pytest.approx(4982950.400, abs=2e-3)
+    assert rows[1]["p"]["n"] == pytest.approx(1e7 - 4982950.400, abs=2e-3)
 
 
 def box(x0, y0, x1, y1):
