@@ -143,14 +143,11 @@ def classify(docs: DataFrame, ranking: Ranking) -> DataFrame:
 
 def keep_good(docs: DataFrame, ranking: Ranking) -> DataFrame:
     """Rows of ``docs``, all columns, whose text scores at least THRESHOLD."""
-    names = docs.columns
-    rows = docs.select(F.struct(*names).alias("row"), text_or_empty().alias("text"))
+    place = docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for batch in slices(whole, 1):
-                good = pa.array(ranking.score(features(batch.column(1))) >= THRESHOLD)
-                row = batch.column(0).filter(good)
-                yield pa.RecordBatch.from_arrays(row.flatten(), schema=pa.schema(list(row.type)))
+            for batch in slices(whole, place):
+                yield batch.filter(pa.array(ranking.score(features(batch.column(place))) >= THRESHOLD))
 
-    return map_arrow(rows, run, docs.schema)
+    return map_arrow(docs, run, docs.schema)
