@@ -46,7 +46,7 @@ SAMPLE, COMMON = 4096, 6
 #: Buckets with more members than this are compared together, by the parts that they connect.
 HOT = 64
 #: Members of such a part that are compared with each other in one task; larger parts are tiled.
-TILE = 1024
+TILE = 2048
 
 
 def shingle_sets(texts: pa.Array, size: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
@@ -387,8 +387,14 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     part = components(spark, hot.select("cls", F.col("low.cls").alias("low")), "cls", "low", scratch)
     part = part.select(F.col("node").alias("cls"), F.col("root").alias("part"))
     members = hot.select("cls", "root", "n").distinct().join(part, "cls")
-    tiles = members.groupBy("part").agg(F.ceil(F.count(F.lit(1)) / TILE).cast("int").alias("tiles"))
-    dealt = members.join(tiles, "part").withColumn("tile", F.pmod(F.xxhash64("cls"), F.col("tiles")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
+    # Sets that fit lie in one size cell or in neighbouring ones; a tile meets the tiles of these cells only.
+    members = members.withColumn("cell", F.floor(F.log("n") / float(np.log(4 / 3))).cast("long"))
+    tiles = members.groupBy("part", "cell").agg(F.ceil(F.count(F.lit(1)) / TILE).cast("long").alias("tiles"))
+    tiles = tiles.groupBy("part").agg(F.map_from_entries(F.collect_list(F.struct("cell", "tiles"))).alias("tiles"))
+    number = lambda cell, k: cell * 1_000_000 + k
+    near = lambda cell: F.when(F.try_element_at("tiles", cell).isNotNull(), F.transform(F.sequence(F.lit(0).cast("long"), F.try_element_at("tiles", cell) - 1), lambda k: number(cell, k)))
+    around = F.flatten(F.array_compact(F.array(*[near(F.col("cell") + d) for d in (-1, 0, 1)])))
+    dealt = members.join(tiles, "part").withColumn("tile", number(F.col("cell"), F.pmod(F.xxhash64("cls"), F.try_element_at("tiles", F.col("cell"))))).withColumn("other", F.explode(around))
     dealt = dealt.join(classes.select("cls", "sketch"), "cls").select("part", F.least("tile", "other").alias("t1"), F.greatest("tile", "other").alias("t2"), "tile", "cls", "root", "n", "sketch")
     many = _part_pairs(dealt.repartition("part", "t1", "t2").sortWithinPartitions("part", "t1", "t2")).join(tested, ["a", "b"], "left_anti")
     rest = scratch.save(few.unionByName(many).distinct(), "rest")
