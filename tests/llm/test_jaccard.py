@@ -44,7 +44,11 @@ def near(text, r, share):
     return " ".join(f"new{r.randrange(10**6)}" if r.random() < share else w for w in words)
 
 
-def test_equals_brute_force(make_docs, prose):
+@pytest.mark.parametrize("hot,tile", [(64, 2048), (2, 3)])
+def test_equals_brute_force(make_docs, prose, monkeypatch, hot, tile):
+    monkeypatch.setattr(jaccard, "HOT", hot)
+    monkeypatch.setattr(jaccard, "TILE", tile)
+    monkeypatch.setattr(jaccard, "ROUNDS", 3 if hot > 2 else 0)
     r = random.Random(1)
     rows = [(i, t) for i, t in enumerate(ODD_TEXTS)]
     base = [prose(i, n, 5000) for i, n in enumerate([3, 5, 6, 8, 12, 20, 40, 90, 130, 300, 700])]
