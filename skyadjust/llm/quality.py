@@ -25,7 +25,7 @@ THRESHOLD = 0.3
 SAMPLE = 6000
 #: Preference pairs drawn from them.
 PAIRS = 30_000
-N_FEATURES = 128 + 8
+N_FEATURES = 128 + 11
 
 
 def features(texts: pa.Array) -> np.ndarray:
@@ -53,9 +53,18 @@ def features(texts: pa.Array) -> np.ndarray:
         caps = np.bincount(row, upper[w.data], n)
     else:
         lines = odd = caps = np.zeros(n)
+    h = w.hashes()
+    again = np.zeros(len(h), bool)
+    again[1:] = (h[1:] == h[:-1]) & (of[1:] == of[:-1])
+    order = np.lexsort((h, of))
+    new = np.ones(len(h), bool)
+    new[1:] = (h[order][1:] != h[order][:-1]) | (of[order][1:] != of[order][:-1])
+    repeats = per(again)
+    distinct = np.bincount(of[order], new, n) / words
     more = np.stack([
         np.log1p(w.counts) / 10, mean / 10, np.sqrt(np.maximum(per(length**2) - mean**2, 0)) / 10,
         per(~letters[last]), per(upper[head]), lines / words, odd / np.maximum(size, 1), caps / np.maximum(size, 1),
+        repeats, np.sqrt(repeats), distinct,
     ], axis=1)
     return np.concatenate([np.sqrt(share), more], axis=1)
 
@@ -75,7 +84,7 @@ class Ranking:
         return 1 / (1 + np.exp(-np.clip(raw, -30, 30)))
 
 
-def fit(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2, steps: int = 25, seed: int = 7) -> Ranking:
+def fit(x: np.ndarray, y: np.ndarray, ridge: float = 1e-3, steps: int = 25, seed: int = 7) -> Ranking:
     """Newton steps on the mean logistic loss of ``PAIRS`` seeded preference pairs plus a ridge.
 
     With one label only, or no rows, there is no preference: the weights are zero and every document
