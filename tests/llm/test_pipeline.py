@@ -74,3 +74,22 @@ def test_token_stage_and_run(spark, stages):
         assert [int.from_bytes(r["ids"][k : k + 2], "little") for k in range(0, len(r["ids"]), 2)] == ids
     run = corpus_pipeline.run(spark, SF)
     assert sorted((r["doc_id"], r["ids_sha256"]) for r in run.collect()) == sorted((r["doc_id"], r["ids_sha256"]) for r in got)
+
+
+@pytest.mark.parametrize("empty", [False, True])
+def test_stages_take_odd_rows(spark, make_docs, tmp_path, empty):
+    from .conftest import ODD_TEXTS
+
+    rows = [] if empty else [*enumerate(ODD_TEXTS), (0, None), (None, "no id at all"), (7, "another text of the same id")]
+    docs = make_docs(rows)
+    if not empty:
+        from pyspark.sql import functions as F
+
+        docs = docs.withColumns({c: F.when(F.col("doc_id") != 3, F.col(c)) for c in ("lang", "source", "n_chars")})
+    for i, (_, stage) in enumerate(corpus_pipeline.STAGES):
+        out = stage(spark, docs, SF)
+        out.write.parquet(f"{tmp_path}/{i}")
+        docs = spark.read.parquet(f"{tmp_path}/{i}")
+        if i + 1 < len(corpus_pipeline.STAGES):
+            assert docs.columns == ["doc_id", "text", "lang", "source", "n_chars"]
+        assert empty == (docs.count() == 0)
