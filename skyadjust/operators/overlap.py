@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import geo
-from ..functions.kernels import Camera, intersection_area, ring_area
+from ..functions.kernels import Camera, intersection_areas, ring_area
 from ..shipping import ship
 
 RING = T.ArrayType(T.StructType([T.StructField("x", T.DoubleType()), T.StructField("y", T.DoubleType())]))
@@ -75,12 +75,9 @@ def overlap_pairs(rings: DataFrame, threshold: float = 0.1, cell: float = 10_000
 
     @F.pandas_udf("double")
     def shared(a: pd.Series, b: pd.Series) -> pd.Series:
-        out = []
-        for p, q in zip(a, b, strict=True):
-            p, q = (np.array([(v["x"], v["y"]) for v in r]) for r in (p, q))
-            low = min(abs(ring_area(p)), abs(ring_area(q)))
-            out.append(intersection_area(p, q) / low if low > 0 else 0.0)
-        return pd.Series(out, dtype="float64")
+        first, second = ([np.array([(v["x"], v["y"]) for v in r]).reshape(-1, 2) for r in side] for side in (a, b))
+        low = np.array([min(abs(ring_area(p)), abs(ring_area(q))) for p, q in zip(first, second, strict=True)])
+        return pd.Series(np.where(low > 0, intersection_areas(first, second), 0) / np.where(low > 0, low, 1), dtype="float64")
 
     scored = candidate_pairs(rings, cell).select(F.col("image_id_i").alias("image_i"), F.col("image_id_j").alias("image_j"), shared("ring_i", "ring_j").alias("overlap"))
     if threshold <= 0:
