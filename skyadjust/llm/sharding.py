@@ -3,7 +3,7 @@
 Documents of equal text are linked.  A group's documents that start in the same shard form a cell;
 cells, not documents, are the nodes, so a group of any size is at most ``shards`` rows.  Each round
 joins cells with the weight their group has in every shard and with the shards' free room, and moves
-cells to the shard with most of their group that has room, under quotas.  Unlinked documents then
+cells to the shard with most of their group that has room, small cells first, until none can move.  Unlinked documents then
 fill what room is left, and a cut of the resulting line into equal parts makes the sizes even.
 """
 
@@ -37,30 +37,43 @@ def _part(n: int, *cols: str, seed: int = 1) -> Column:
     return F.pmod(F.xxhash64(*cols, F.lit(seed)), F.lit(n)).cast("int")
 
 
-def propagate(cells: DataFrame, shards: int, room: float, rounds: int, scratch: Scratch) -> DataFrame:
-    """Cells (g, crc, size, c0, bytes, shard) after ``rounds`` of capacity-bound label propagation."""
-    n = cells.count()
-    lanes = max(1, n // 50_000)
+def propagate(cells: DataFrame, shards: int, room: float, scratch: Scratch) -> DataFrame:
+    """Cells (g, crc, size, c0, bytes, shard) after capacity-bound label propagation, round by round until no cell can move.
+
+    A cell moves only to a shard that holds more of its group (of equal ones, to the smaller number), so
+    the sum of squares of a group's bytes by shard rises with every move, and rounds come to an end.
+    """
     cells = scratch.save(cells, "cells")
-    for r in range(rounds):
+    while True:
         load = cells.groupBy("shard").agg(F.sum("bytes").alias("load"))
         free = cells.sparkSession.range(shards).select(F.col("id").cast("int").alias("shard")).join(F.broadcast(load), "shard", "left").select("shard", (F.lit(room) - F.coalesce("load", F.lit(0))).alias("free"))
-        votes = cells.groupBy(*GROUP, "shard").agg(F.sum("bytes").alias("votes")).join(F.broadcast(free), "shard")
-        # A group's most crowded shard with room to spare is where its other cells want to go.
-        want = votes.groupBy(*GROUP).agg(F.max_by("shard", F.when(F.col("free") > 0, F.struct(F.col("votes"), -F.col("shard")))).alias("want"))
-        moved = cells.join(want, GROUP, "left").withColumn("lane", _part(lanes, *GROUP, "c0", seed=r))
-        mover = F.col("want").isNotNull() & (F.col("want") != F.col("shard"))
-        quota = Window.partitionBy(F.when(mover, F.col("want")), F.when(mover, F.col("lane"))).orderBy(F.col("bytes").desc(), *GROUP, "c0").rowsBetween(Window.unboundedPreceding, 0)
-        still = moved.where(~mover).select(*GROUP, "c0", "bytes", "shard")
-        going = moved.where(mover).withColumn("upto", F.sum("bytes").over(quota)).join(F.broadcast(free.withColumnRenamed("shard", "want")), "want")
-        going = going.select(*GROUP, "c0", "bytes", F.when(F.col("upto") <= F.col("free") / lanes, F.col("want")).otherwise(F.col("shard")).alias("shard"))
-        new = scratch.save(still.unionByName(going), "cells")
-        scratch.drop(cells)
+        votes = cells.groupBy(*GROUP, "shard").agg(F.sum("bytes").alias("votes"), F.min("bytes").alias("least")).join(F.broadcast(free), "shard")
+        held = votes.groupBy(*GROUP).agg(F.collect_list(F.struct("votes", (-F.col("shard")).alias("back"), "least", "free")).alias("held"))
+        rank = lambda v: F.struct(v["votes"], v["back"])
+        # A group's most crowded shard with room for a cell from a less crowded one is where its other cells want to go.
+        fits = F.filter("held", lambda to: F.exists("held", lambda of: (rank(of) < rank(to)) & (of["least"] <= to["free"])))
+        want = held.withColumn("to", F.array_max(F.transform(fits, lambda v: F.struct(v["votes"].alias("votes"), v["back"].alias("back"), v["free"].alias("free")))))
+        moved = cells.join(want, GROUP, "left").withColumn("of", F.element_at(F.filter("held", lambda v: v["back"] == -F.col("shard")), 1))
+        mover = F.coalesce((rank(F.col("of")) < rank(F.col("to"))) & (F.col("bytes") <= F.col("to.free")), F.lit(False))
+        moved = scratch.save(moved.select(*GROUP, "c0", "bytes", "shard", mover.alias("mover"), (-F.col("to.back")).alias("want"), F.col("to.free").alias("free")), "moved")
+        wanted = dict(moved.where("mover").groupBy("want").agg(F.sum("bytes")).collect())
+        if not wanted:
+            return cells
+        ahead = F.lit(0)
+        for w, n in wanted.items():
+            ahead = ahead + F.when(F.col("want") > w, F.lit(n)).otherwise(F.lit(0))
+        # Small cells first: what does not fit keeps nothing else out, and the first always fits.
+        power = F.floor(F.log2(F.col("bytes"))).cast("int")
+        part = F.pmod(F.floor(F.col("bytes") * 16 / F.pow(F.lit(2.0), power)), F.lit(16)).cast("int") * 64 + _part(64, *GROUP, "c0")
+        order = [F.col("bytes"), *map(F.col, GROUP), F.col("c0")]
+        going = running(moved.where("mover"), F.col("want") * 64 + power, shards * 64, part, order, F.col("bytes"))
+        going = going.select(*GROUP, "c0", "bytes", F.when(F.col("before") - ahead + F.col("bytes") <= F.col("free"), F.col("want")).otherwise(F.col("shard")).alias("shard"))
+        new = scratch.save(moved.where("not mover").select(*GROUP, "c0", "bytes", "shard").unionByName(going), "cells")
+        scratch.drop(cells, moved)
         cells = new
-    return cells
 
 
-def shard(docs: DataFrame, shards: int = 40, rounds: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def shard(docs: DataFrame, shards: int = 40, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Put every document into one of ``shards`` shards of near equal bytes, equal texts together.
 
     Size is the text's UTF-8 bytes (null: none) plus 16.  Returns (doc_id, size, text_crc32, shard,
@@ -79,7 +92,7 @@ def shard(docs: DataFrame, shards: int = 40, rounds: int = 5, id_col: str = "doc
     counted = base.groupBy(*GROUP, "c0").agg(F.count(F.lit(1)).alias("n"))
     groups = counted.groupBy(*GROUP).agg(F.sum("n").alias("n_all"))
     cells = counted.join(groups.where("n_all > 1"), GROUP).select(*GROUP, "c0", (F.col("n") * F.col("size")).alias("bytes"), F.col("c0").alias("shard"))
-    cells = propagate(cells, shards, room, rounds, scratch)
+    cells = propagate(cells, shards, room, scratch)
     placed = base.join(cells.select(*GROUP, "c0", F.col("shard").alias("label")), [*GROUP, "c0"], "left")
     placed = scratch.save(placed, "placed")
     linked = placed.where(F.col("label").isNotNull())

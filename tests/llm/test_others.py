@@ -196,6 +196,15 @@ def test_shard_small_tables(make_docs):
     assert len(copies) == 40 and {r["count"] for r in copies} == {10}
 
 
+def test_cells_that_do_not_fit_keep_no_others_out(spark):
+    from skyadjust.llm._common import Scratch
+
+    rows = [(1, 0, 1, 0, 100, 0), (1, 0, 1, 1, 90, 1), (2, 0, 1, 0, 12, 0), (2, 0, 1, 1, 5, 1)]
+    cells = spark.createDataFrame(rows, "g long, crc long, size long, c0 int, bytes long, shard int")
+    got = {(r["g"], r["c0"]): r["shard"] for r in sharding.propagate(cells, 2, 120.0, Scratch(spark, "cells")).collect()}
+    assert got == {(1, 0): 0, (1, 1): 1, (2, 0): 0, (2, 1): 0}
+
+
 # URL filter
 
 
