@@ -410,13 +410,18 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
 def keep_first(docs: DataFrame) -> DataFrame:
     """Rows of ``docs``, all columns: of each near-duplicate component the one with the smallest doc_id.
 
-    Of rows that share a doc_id and differ one is kept, of the same component or not; rows with a null
-    doc_id stay.
+    Rows that share a doc_id are judged by their own texts, of equal ones one is kept; rows with a null
+    doc_id all stay.
     """
     scratch = Scratch(docs.sparkSession, "first")
-    found = scratch.save(join(docs).where("doc_id is not null"), "found")
-    gone = found.where("doc_id != component_id").select(F.col("doc_id").alias("gone__")).distinct()
-    gone = scratch.save(gone, "gone")
-    kept = docs.join(broadcast_if_small(gone, gone.count()), F.col("doc_id") == F.col("gone__"), "left_anti")
-    repeated = not found.groupBy("doc_id").count().where("count > 1").isEmpty()
-    return kept.dropDuplicates(["doc_id"]) if repeated else kept
+    if docs.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").isEmpty():
+        gone = join(docs).where("doc_id != component_id").select(F.col("doc_id").alias("gone__")).distinct()
+        gone = scratch.save(gone, "gone")
+        return docs.join(broadcast_if_small(gone, gone.count()), F.col("doc_id") == F.col("gone__"), "left_anti")
+    keyed = docs.withColumn("row__", F.xxhash64("doc_id", text_or_empty()))
+    found = join(keyed, "row__").select(F.col("doc_id").alias("row__"), "component_id").distinct()
+    named = keyed.where("doc_id is not null").select("row__", "doc_id").distinct()
+    first = found.join(named, "row__").groupBy("component_id").agg(F.min(F.struct("doc_id", "row__")).alias("first")).select("first.row__")
+    first = scratch.save(first, "kept")
+    kept = keyed.where("doc_id is not null").join(first, "row__", "left_semi").dropDuplicates(["row__"])
+    return kept.unionByName(keyed.where("doc_id is null")).select(*docs.columns)

@@ -107,3 +107,9 @@ def test_keep_first(make_docs, rows):
     kept = jaccard.keep_first(make_docs(rows))
     assert sorted(r["doc_id"] for r in kept.collect()) == [1, 2, 4, 5]
     assert kept.columns == make_docs(rows).columns
+
+
+def test_keep_first_judges_rows_that_share_an_id(make_docs):
+    rows = [(1, "a b c d e f g h"), (1, "z y x w v u t s"), (2, "A B C D E F G H"), (2, "k l m n o p q r"), (3, "one"), (3, "one"), (None, "z y x w v u t s"), (None, "two"), (None, "two")]
+    kept = jaccard.keep_first(make_docs(rows)).collect()
+    assert sorted((r["doc_id"] or 0, r["text"]) for r in kept) == [(0, "two"), (0, "two"), (0, "z y x w v u t s"), (1, "a b c d e f g h"), (1, "z y x w v u t s"), (2, "k l m n o p q r"), (3, "one")]
