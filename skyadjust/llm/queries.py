@@ -29,7 +29,7 @@ def op1_warc_transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = Scratch(spark, "warc").path("archives")
     warc.write(table(spark, sf_dir, "pages"), path)
     captures = warc.assemble(warc.read(spark, path, payload=False))
-    page = lambda c: F.regexp_extract(c, r"^<urn:page:(-?\d+):", 1).cast("long")
+    page = lambda c: F.regexp_extract(c, r"^<urn:page:(-?\d+):", 1).try_cast("long")
     return captures.select(
         page(F.col("response.record_id")).alias("page_id"), F.col("response.payload_bytes").alias("payload_bytes"), F.col("response.payload_digest").alias("payload_digest"),
         F.col("response.type").alias("record_type"), F.when(F.col("response.refers_to").isNotNull(), page(F.col("response.refers_to"))).alias("refers_to"),

@@ -12,7 +12,7 @@ import hashlib
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..shipping import map_arrow
@@ -27,8 +27,8 @@ DATE = "2026-01-01T00:00:00Z"
 RECORD_SCHEMA = "record_id string, type string, target_uri string, date string, concurrent_to array<string>, refers_to string, payload_digest string, payload_bytes long, fields map<string,string>"
 
 
-def record_id(kind: str, page_id: Column) -> Column:
-    return F.concat(F.lit("<urn:page:"), page_id.cast("string"), F.lit(f":{kind}>"))
+def record_id(kind: str, page_id: Column, label: Column) -> Column:
+    return F.concat(F.lit("<urn:page:"), F.coalesce(page_id.cast("string"), F.lit("null")), F.lit(f":{kind}"), label, F.lit(">"))
 
 
 def _record(headers: list[Column], block: Column) -> Column:
@@ -47,34 +47,47 @@ def write(pages: DataFrame, path: str, captures_per_file: int = 3000) -> None:
     pages of equal payloads of at least ``REVISIT_BYTES`` the one with the largest page_id is a
     response and the others revisit it, without the payload but with its HTTP headers.  The digests
     that occur more than once are counted before they are broadcast; beyond 300,000 they are joined
-    by a shuffle.  Null urls have no WARC-Target-URI; white space and control characters in a url
+    by a shuffle.  Rows that share a page_id are captures of their own: their record ids end with a hash
+    of url and payload and a number; a null page_id is written as null.  Null urls have no WARC-Target-URI; white space and control characters in a url
     are percent-encoded.
     """
     payload = F.encode(F.coalesce(F.col("html").cast("string"), F.lit("")), "UTF-8")
     own = pages.select(F.col("page_id"), F.col("url").cast("string").alias("url"), payload.alias("payload")).withColumn("digest", F.sha1("payload"))
-    twice = own.where(F.octet_length("payload") >= REVISIT_BYTES).groupBy("digest").agg(F.max("page_id").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
+    repeated = own.groupBy(F.coalesce(F.col("page_id").cast("string"), F.lit("null")).alias("name")).count().where("count > 1").select("name")
+    n, first = repeated.count(), [F.max("page_id").alias("first"), F.lit("").alias("first_label")]
+    own = own.withColumn("label", F.lit(""))
+    if n:
+        name = F.coalesce(F.col("page_id").cast("string"), F.lit("null")) == F.col("name")
+        repeated = broadcast_if_small(repeated, n)
+        equal = F.xxhash64("digest", "url")
+        place = F.row_number().over(Window.partitionBy("page_id", equal).orderBy("digest", "url"))
+        several = own.join(repeated, name, "left_semi").withColumn("label", F.concat(F.lit(":"), F.hex(equal), F.lit("."), place.cast("string")))
+        own = own.join(repeated, name, "left_anti").unionByName(several)
+        top = F.max(F.struct("page_id", "label"))
+        first = [top["page_id"].alias("first"), top["label"].alias("first_label")]
+    twice = own.where(F.octet_length("payload") >= REVISIT_BYTES).groupBy("digest").agg(*first, F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
     n = twice.count()
     own = own.join(broadcast_if_small(twice, n), "digest", "left").withColumn("again", F.coalesce(F.col("first") != F.col("page_id"), F.lit(False)))
     uri = _header("WARC-Target-URI", F.regexp_replace("url", r"[\x00-\x20\x7f]", "%20"))
-    date, pid, length = _header("WARC-Date", F.lit(DATE)), F.col("page_id"), F.octet_length("payload")
-    main_id = F.when(F.col("again"), record_id("revisit", pid)).otherwise(record_id("response", pid))
+    date, pid, label, length = _header("WARC-Date", F.lit(DATE)), F.col("page_id"), F.col("label"), F.octet_length("payload")
+    main_id = F.when(F.col("again"), record_id("revisit", pid, label)).otherwise(record_id("response", pid, label))
     http = F.encode(F.concat(F.lit("HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: "), length.cast("string"), F.lit(END)), "UTF-8")
     path_of = F.coalesce(F.nullif(F.regexp_extract(F.regexp_replace("url", r"[\x00-\x20\x7f]", "%20"), r"://[^/?#]*([^#]*)", 1), F.lit("")), F.lit("/"))
     concurrent = _header("WARC-Concurrent-To", main_id)
     request = _record(
-        [F.lit("WARC-Type: request"), _header("WARC-Record-ID", record_id("request", pid)), date, uri, concurrent, F.lit("Content-Type: application/http;msgtype=request")],
+        [F.lit("WARC-Type: request"), _header("WARC-Record-ID", record_id("request", pid, label)), date, uri, concurrent, F.lit("Content-Type: application/http;msgtype=request")],
         F.encode(F.concat(F.lit("GET "), path_of, F.lit(" HTTP/1.1" + END)), "UTF-8"),
     )
     digest = _header("WARC-Payload-Digest", F.concat(F.lit("sha1:"), F.col("digest")))
     response = _record([F.lit("WARC-Type: response"), _header("WARC-Record-ID", main_id), date, uri, digest, F.lit("Content-Type: application/http;msgtype=response")], F.concat(http, F.col("payload")))
     revisit = _record(
-        [F.lit("WARC-Type: revisit"), _header("WARC-Record-ID", main_id), date, uri, digest, _header("WARC-Refers-To", record_id("response", F.col("first"))),
+        [F.lit("WARC-Type: revisit"), _header("WARC-Record-ID", main_id), date, uri, digest, _header("WARC-Refers-To", record_id("response", F.col("first"), F.col("first_label"))),
          F.lit("WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"), F.lit("Content-Type: application/http;msgtype=response")],
         http,
     )
     metadata = _record(
-        [F.lit("WARC-Type: metadata"), _header("WARC-Record-ID", record_id("metadata", pid)), date, uri, concurrent, F.lit("Content-Type: application/warc-fields")],
-        F.encode(F.concat(F.lit("pageId: "), pid.cast("string"), F.lit("\r\n")), "UTF-8"),
+        [F.lit("WARC-Type: metadata"), _header("WARC-Record-ID", record_id("metadata", pid, label)), date, uri, concurrent, F.lit("Content-Type: application/warc-fields")],
+        F.encode(F.concat(F.lit("pageId: "), F.coalesce(pid.cast("string"), F.lit("null")), F.lit("\r\n")), "UTF-8"),
     )
     end = F.encode(F.lit(END), "UTF-8")
     whole = F.concat(request, end, F.when(F.col("again"), revisit).otherwise(response), end, metadata)

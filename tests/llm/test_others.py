@@ -38,6 +38,16 @@ def test_warc_round_trip(spark, tmp_path):
         assert len(r["requests"]) == len(r["metadata"]) == 1
 
 
+def test_warc_every_row_is_a_capture(spark, tmp_path):
+    big = "<p>text " * 200
+    rows = [(1, "a", "x", "", ""), (1, "b", "y", "", ""), (1, "b", "y", "", ""), (None, "c", "z", "", ""), (None, None, big, "", ""), (2, "d", big, "", ""), (3, "e", big, "", ""), (3, "e", big, "", "")]
+    pages(spark, rows).write.parquet(str(tmp_path / "pages.parquet"))
+    got = queries.op1_warc_transactions(spark, str(tmp_path)).collect()
+    kinds = sorted((r["page_id"] or 0, r["payload_bytes"], r["record_type"], r["refers_to"], r["n_requests"], r["n_metadata"]) for r in got)
+    n = len(big)
+    assert kinds == [(0, 1, "response", None, 1, 1), (0, n, "response", None, 1, 1), *[(1, 1, "response", None, 1, 1)] * 3, (2, n, "revisit", 3, 1, 1), *[(3, n, "response", None, 1, 1)] * 2]
+
+
 def test_warc_transactions_through_other_records_and_orphans(spark):
     row = lambda i, t, to: (i, t, None, None, to, None, None, None, None)
     rows = [row("r", "response", ["q"]), row("q", "request", []), row("m", "metadata", ["q"]), row("lone", "metadata", ["gone"]), row("r", "response", ["q"])]
