@@ -7,6 +7,7 @@ import pyarrow as pa
 import pytest
 
 from skyadjust.llm import jaccard
+from skyadjust.llm._common import Scratch
 
 from .conftest import ODD_TEXTS
 
@@ -74,32 +75,64 @@ def test_chains_and_common_passages(make_docs, prose):
 
 def test_empty_table_and_repeated_ids(make_docs):
     assert run(make_docs([])) == []
-    rows = [(1, "a b c d e f g"), (1, "a b c d e f g"), (1, "quite another text of some words"), (0, None), (None, "a b c d e f g")]
-    assert sorted(jaccard.join(make_docs(rows)).collect(), key=str) is not None
-    assert len(run(make_docs(rows[:4]))) == 4
-
-
-def test_sketch_distance_is_a_lower_bound(prose):
-    r = random.Random(4)
-    texts = []
-    for n in (10, 150, 900, 4000):
-        t = prose(n, n, 10_000)
-        texts += [t, near(t, r, 0.03)]
-    first, s = jaccard.shingle_sets(pa.array(texts))
-    bits = pa.array(jaccard.parity_sketches(first, s))
-    for i in range(0, len(texts), 2):
-        a, b = (set(s[first[k] : first[k + 1]].tolist()) for k in (i, i + 1))
-        far = jaccard.distances(bits.slice(i, 1), bits.slice(i + 1, 1))[0]
-        assert (far > 0) == (a != b) and far <= len(a ^ b)
-
-
-def test_pigeonhole_leaves_enough_words():
-    rng = np.random.default_rng(0)
-    for n in (1, 2, 3, 7, 50, 127, 128, 200, 255, 256, 1000, 5000):
-        s = np.unique(rng.integers(0, 1 << 64, n, dtype=np.uint64))
-        _, items = jaccard.sketch_words(np.array([0, len(s)]), s, np.zeros(0, np.uint64))
-        which, _ = jaccard.roles(np.array([len(s)]))
-        assert len(items) >= len(which) * ((n + 4 * n // 3) // 7 + n // 48 + 1)
+    rows = [(1, "a b c d e f g"), (1, "a b c d e f g"), (1, "quite another text of some words"), (0, None), (None, "a b c d e f g"), (None, "alone in here")]
+    assert sorted(map(tuple, jaccard.join(make_docs(rows)).collect()), key=str) == [(0, 0, 0), (1, 2, 1), (1, 3, 1), (1, 3, 1), (None, 1, None), (None, 3, 1)]
+
+
+def group(prose, m):
+    """Near copies of one text, of which many are likely to 0.5 to 0.75 without linking."""
+    r, base = random.Random(m), prose(77, 120, 10_000)
+    return [(i, near(base, r, r.choice((0.0, 0.02, 0.04, 0.06, 0.08)))) for i in range(m)]
+
+
+def test_rows_of_a_near_copy_group_grow_in_proportion(make_docs, prose, monkeypatch):
+    made = {}
+    save = Scratch.save
+    for m in (500, 2000):
+        most = []
+
+        def counting(self, df, name, most=most):
+            out = save(self, df, name)
+            if name in ("best", "near", "few", "many", "found", "members", "links", "need", "texts"):
+                most.append((name, out.count()))
+            return out
+
+        monkeypatch.setattr(Scratch, "save", counting)
+        got = run(make_docs(group(prose, m)))
+        monkeypatch.setattr(Scratch, "save", save)
+        made[m] = max(n for _, n in most)
+        if m == 500:
+            assert got == brute(group(prose, m))
+        assert made[m] <= 3 * m, most
+    assert made[2000] <= 6 * made[500]
+
+
+def test_spanning_links_merge_all_and_no_more(prose):
+    rows = group(prose, 150)
+    texts = pa.array([t for _, t in rows])
+    cls = jaccard.class_ids(*jaccard.shingle_sets(texts))
+    _, at = np.unique(cls, return_index=True)
+    texts, cls, rows = texts.take(pa.array(at)), cls[at], [rows[i] for i in at.tolist()]
+    want = len({c for _, _, c in brute(rows)})
+    links = jaccard.spanning_links(texts, cls, cls)
+    assert len(links) == len(cls) - want
+    half = np.arange(len(cls)) % 2
+    both = jaccard.spanning_links(texts, cls, cls, half)
+    assert 0 < len(both) <= len(links) and all(half[cls == a] != half[cls == b] for a, b in both)
+    assert jaccard.spanning_links(texts, cls + 1, cls) == []
+
+
+def test_candidates_reach_every_member_of_a_component(prose):
+    r, words = random.Random(3), prose(5, 240, 10_000).split()
+    chain = [" ".join(words[8 * i : 8 * i + 120]) for i in range(12)]
+    texts = pa.array([*chain, near(chain[0], r, 0.02), near(chain[11], r, 0.02)])
+    first, s = jaccard.shingle_sets(texts)
+    bits, n, cls = jaccard.parity_sketches(first, s), np.diff(first), np.arange(len(texts))
+    root = np.where(cls < 12, 0, cls)
+    far = np.array([[jaccard.distances(pa.array([x]), pa.array([y]))[0] for y in bits] for x in bits])
+    want = {(i, j) for i, j in combinations(range(len(texts)), 2) if root[i] != root[j] and far[i, j] * 7 <= n[i] + n[j]}
+    found = {(min(p), max(p)) for p in jaccard.spanning_candidates(n, bits, cls, root)}
+    assert len(want) > 2 and found <= want and {i for p in found for i in p} == {i for p in want for i in p}
 
 
 @pytest.mark.parametrize("rows", [[(3, "a b c d e f g h"), (1, "A B C D E F G H"), (2, "z y x w v u t"), (4, None), (5, "")]])
