@@ -85,8 +85,8 @@ class Words:
         return mix(h + (self.end - self.start).astype(U) * U(0x9E3779B97F4A7C15))
 
 
-def slices(batch: pa.RecordBatch, column: int, limit: int = 1 << 20) -> Iterator[pa.RecordBatch]:
-    """Parts of a batch whose texts hold about ``limit`` bytes, a row counting 1 KB more; one longer text is a part by itself."""
+def slices(batch: pa.RecordBatch, column: int, limit: int = 1 << 18) -> Iterator[pa.RecordBatch]:
+    """Parts of a batch whose texts hold about ``limit`` bytes (arrays over them take a hundred times that), a row counting 1 KB more; one longer text is a part by itself."""
     n = batch.num_rows
     if not n:
         return
