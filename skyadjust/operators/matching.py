@@ -262,18 +262,16 @@ def match_summary(stats: DataFrame, total_pairs: int) -> DataFrame:
 
 def geo_filter_any(matches: DataFrame, images: DataFrame, threshold: float = 100.0, h_ref: float = 0.0) -> DataFrame:
     """``geo_filter`` for cameras of any kind: ends are localized in vectorized batches, distances stay Column arithmetic."""
-    from .triangulate import cameras_of
+    from .triangulate import cameras_of, stacked
 
     spark = matches.sparkSession
     ship(spark)
-    shipped = spark.sparkContext.broadcast({i: c[0] for i, c in cameras_of(images).items()})
+    shipped = spark.sparkContext.broadcast(stacked(cameras_of(images)))
 
     @F.pandas_udf("lon double, lat double")
     def ground(image: pd.Series, col: pd.Series, row: pd.Series) -> pd.DataFrame:
-        lon, lat = np.full(len(image), np.nan), np.full(len(image), np.nan)
-        for i in image.unique():
-            at = (image == i).to_numpy()
-            lon[at], lat[at] = shipped.value[i].localize(col[at].to_numpy(), row[at].to_numpy(), h_ref)
+        cameras = shipped.value
+        lon, lat = cameras.localize(cameras.place(image.to_numpy()), col.to_numpy(), row.to_numpy(), h_ref)
         return pd.DataFrame({"lon": lon, "lat": lat})
 
     ends = matches.withColumns({f"g_{s}": ground(f"image_{s}", f"col_{s}", f"row_{s}") for s in "ij"})

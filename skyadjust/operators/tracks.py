@@ -87,9 +87,15 @@ def covisibility(observations: DataFrame) -> DataFrame:
     return pairs.distinct()
 
 
+def shared_views(observations: DataFrame) -> DataFrame:
+    """Distinct image pairs that connect what ``covisibility`` connects: each track's lowest image with its others."""
+    views = observations.groupBy("track_id").agg(F.collect_set("image_id").alias("v"))
+    return views.select(F.array_min("v").alias("image_a"), F.explode("v").alias("image_b")).where("image_a < image_b").distinct()
+
+
 def connected_tracks(observations: DataFrame, reference: int) -> DataFrame:
     """track_id of tracks that see the component of the reference image; without a shared track the reference is alone."""
-    part = reachable(covisibility(observations), "image_a", "image_b", reference)
+    part = reachable(shared_views(observations), "image_a", "image_b", reference)
     return observations.join(F.broadcast(part.withColumnRenamed("node", "image_id")), "image_id", "left_semi").select("track_id").distinct()
 
 

@@ -126,8 +126,11 @@ def tracks_connected(spark, sf_dir):
     return tracks.connected_tracks(tb.observations(spark, sf_dir), tb.REFERENCE)
 
 
-@query("images", """SELECT image_id, (k - 1)::INTEGER AS ord, CASE WHEN k <= 5 THEN (k - 1) * 25e2 WHEN k <= 9 THEN 1e4 WHEN k <= 13 THEN (13 - k) * 25e2 ELSE 0e0 END AS col,
-  CASE WHEN k <= 5 THEN 0e0 WHEN k <= 9 THEN (k - 5) * 25e2 WHEN k <= 13 THEN 1e4 ELSE (17 - k) * 25e2 END AS row FROM images, range(1, 17) t(k)""")
+BOUNDARY_SQL = """SELECT image_id, (k - 1)::INTEGER AS ord, CASE WHEN k <= 5 THEN (k - 1) * 25e2 WHEN k <= 9 THEN 1e4 WHEN k <= 13 THEN (13 - k) * 25e2 ELSE 0e0 END AS col,
+  CASE WHEN k <= 5 THEN 0e0 WHEN k <= 9 THEN (k - 5) * 25e2 WHEN k <= 13 THEN 1e4 ELSE (17 - k) * 25e2 END AS row FROM images, range(1, 17) t(k)"""
+
+
+@query("images", BOUNDARY_SQL)
 def boundary_points(spark, sf_dir):
     images = tb.images(spark, sf_dir)
     return images.select("image_id", F.posexplode(geo.boundary(F.col("width"), F.col("height"))).alias("ord", "p")).select("image_id", "ord", "p.col", "p.row")
@@ -149,6 +152,51 @@ def rpc_project(spark, sf_dir):
     return _placed(spark, sf_dir).select("image_id", "track_id", exact(c).alias("col"), exact(r).alias("row"))
 
 
+def _seen(spark, sf_dir):
+    """(obs_id, track_id, image_id, col, row): what rational cameras see of the true points, without errors."""
+    o = tb.observations(spark, sf_dir).select("obs_id", "track_id", "image_id").join(F.broadcast(tb.rational_images(spark, sf_dir)), "image_id").join(tb.points(spark, sf_dir), "track_id")
+    c, r = geo.project(F.col("camera"), F.col("lon_t"), F.col("lat_t"), F.col("h_t"))
+    return o.select("obs_id", "track_id", "image_id", c.alias("col"), r.alias("row"))
+
+
+SEEN = "images points measured observations rational seen"
+
+
+@query(SEEN, "SELECT obs_id, track_id, image_id, round(col, 4) AS col, round(row, 4) AS row FROM seen")
+def rpc_project_rational(spark, sf_dir):
+    return _seen(spark, sf_dir).withColumns({"col": exact(F.col("col")), "row": exact(F.col("row"))})
+
+
+@query("images", BOUNDARY_SQL)
+def rpc_localize_rational(spark, sf_dir):
+    """Boundary points of rational cameras on the ground by Newton steps, projected back by Column arithmetic: the SQL has where they came from."""
+    images = tb.rational_images(spark, sf_dir)
+    ground = overlap.ground_rings(images, H_REF).select("image_id", F.posexplode("ring").alias("ord", "p")).join(F.broadcast(images), "image_id")
+    c, r = geo.project(F.col("camera"), F.col("p.x"), F.col("p.y"), F.lit(H_REF))
+    return ground.select("image_id", "ord", exact(c, 3).alias("col"), exact(r, 3).alias("row"))
+
+
+TRUE_SQL = """, views AS (SELECT track_id, count(*)::INTEGER AS n_views, count(DISTINCT image_id % 35) > 1 AS apart FROM observations GROUP BY 1)
+SELECT track_id, n_views, n_views >= 2 AS success, CASE WHEN apart THEN 0e0 END AS rms, CASE WHEN apart THEN round(lon_t, 6) END AS lon, CASE WHEN apart THEN round(lat_t, 6) END AS lat,
+  CASE WHEN apart THEN round(h_t + 1234567e-9, 2) END AS h FROM views JOIN points USING (track_id)"""
+
+
+@query(sql=with_tables("images points measured observations", "").rstrip() + TRUE_SQL)
+def triangulate_rational(spark, sf_dir):
+    """Points from error-free views of rational cameras: the true ones, where the views' cameras differ in how height moves a pixel.
+
+    Heights have five decimals, so a shift keeps them off the halves that rounding may turn either way.
+    """
+    seen = _seen(spark, sf_dir)
+    apart = seen.groupBy("track_id").agg((F.count_distinct(F.col("image_id") % 35) > 1).alias("apart"))
+    out = triangulate.triangulate(seen, tb.rational_images(spark, sf_dir), tb.REFERENCE, H_REF).join(apart, "track_id")
+    known = lambda c, digits: F.when(F.col("apart"), exact(F.col(c), digits))
+    return out.select(
+        "track_id", "n_views", F.col("triangulation_success").alias("success"), known("mean_reproj_error", 3).alias("rms"),
+        known("lon_init", 6).alias("lon"), known("lat_init", 6).alias("lat"), F.when(F.col("apart"), exact(F.col("h_init") + 1234567e-9, 2)).alias("h"),
+    )
+
+
 @query(OBS, f"SELECT image_id, track_id, round(lon0 + (col - kc * h_t) / 1e5, 8) AS lon, round(lat0 - (row - kr * h_t) / 1e5, 8) AS lat {PLACED}")
 def rpc_localize(spark, sf_dir):
     lon, lat = geo.localize_affine(F.col("camera"), F.col("col"), F.col("row"), F.col("h_t"))
@@ -199,10 +247,11 @@ def overlap_adjacency(spark, sf_dir):
     return overlap.adjacency(images, overlap_pairs(spark, sf_dir)).select("image_id", F.to_json("neighbours").alias("neighbours"))
 
 
-@query()
+@query("images boxes pairs", "SELECT image_i, image_j, round(overlap, 2) AS overlap FROM pairs WHERE overlap >= 0.1")
 def overlap_footprints(spark, sf_dir):
-    """Overlap of UTM footprints by polygon clipping; tests hold it against the boxes."""
-    return overlap.overlap_pairs(overlap.footprints(tb.images(spark, sf_dir)), 0.1, 10_000.0)
+    """Overlap of UTM footprints by polygon clipping; at height 0 the footprints are boxes in degrees, whose shares the zone hardly changes."""
+    found = overlap.overlap_pairs(overlap.footprints(tb.images(spark, sf_dir)), 0.1, 10_000.0)
+    return found.select("image_i", "image_j", exact(F.col("overlap"), 2).alias("overlap"))
 
 
 KNN_SQL = """WITH f AS (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS e FROM embeddings),
@@ -264,10 +313,9 @@ def geometric_filter(spark, sf_dir):
     return matching.geometric_filter(tb.pair_matches(spark, sf_dir, raw=False), 1.5).groupBy("image_i", "image_j").agg(F.count(F.lit(1)).alias("n_kept"))
 
 
-@query("images", "SELECT round(coalesce(median(100 + 1e1 * kc), 0), 6) AS h_ref FROM images")
+@query("rational", "SELECT round(median(h0), 6) AS h_ref FROM rational")
 def h_ref_median(spark, sf_dir):
-    a = F.col("camera.affine")
-    return tb.images(spark, sf_dir).agg(exact(F.coalesce(F.median(100 + 10 * a[4]), F.lit(0.0)), 6).alias("h_ref"))
+    return spark.createDataFrame([(triangulate.h_ref_median(tb.rational_images(spark, sf_dir)),)], "h_ref double")
 
 
 @query("images points measured observations seeds", "SELECT track_id, round(lon, 8) AS lon, round(lat, 8) AS lat, h FROM seeds")
@@ -279,23 +327,39 @@ def seed_points(spark, sf_dir):
 LINEAR_SQL = """, e AS (SELECT o.track_id, s.lon, s.lat, kc, kr, col - (1e5 * (s.lon - lon0) + kc * s.h) AS ec, row - (-1e5 * (s.lat - lat0) + kr * s.h) AS er
   FROM observations o JOIN images USING (image_id) JOIN seeds s ON s.track_id = o.track_id),
 m AS (SELECT track_id, any_value(lon) AS lon, any_value(lat) AS lat, count(*)::DOUBLE AS n, sum(kc) AS sc, sum(kr) AS sr, sum(kc * kc + kr * kr) AS hh, sum(ec) AS ec, sum(er) AS er, sum(kc * ec + kr * er) AS eh, sum(ec * ec + er * er) AS ee FROM e GROUP BY track_id),
-h AS (SELECT *, n * n * hh - n * sc * sc - n * sr * sr AS det FROM m),
-d AS (SELECT *, (eh - sc * ec / n - sr * er / n) / (hh - sc * sc / n - sr * sr / n) AS dh FROM h WHERE det > 2e-3),
-x AS (SELECT *, (ec - sc * dh) / n AS du, -(er - sr * dh) / n AS dv FROM d)
-SELECT track_id, round(lon + du * 1e-5, 7) AS lon, round(lat + dv * 1e-5, 7) AS lat, round(150 + dh, 3) + 0e0 AS h, round(sqrt(greatest(ee - du * ec + dv * er - dh * eh, 0) / (2 * n)), 3) + 0e0 AS rms FROM x"""
+h AS (SELECT *, n * n * hh - n * sc * sc - n * sr * sr > 2e-3 AS solved FROM m),
+d AS (SELECT *, CASE WHEN solved THEN (eh - sc * ec / n - sr * er / n) / (hh - sc * sc / n - sr * sr / n) END AS dh FROM h),
+x AS (SELECT *, (ec - sc * dh) / n AS du, -(er - sr * dh) / n AS dv FROM d),
+linear AS (SELECT track_id, n::INTEGER AS n_views, solved, lon + du * 1e-5 AS lon, lat + dv * 1e-5 AS lat, 150 + dh AS h, CASE WHEN solved THEN sqrt(greatest(ee - du * ec + dv * er - dh * eh, 0) / (2 * n)) END AS rms FROM x)"""
+LINEAR = with_tables("images points measured observations seeds", "").rstrip() + LINEAR_SQL
 
 
-@query(sql=with_tables("images points measured observations seeds", "").rstrip() + LINEAR_SQL)
-def triangulate_linear(spark, sf_dir):
+def _linear(spark, sf_dir):
     o, images = tb.observations(spark, sf_dir), tb.images(spark, sf_dir)
-    out = triangulate.triangulate_linear(o, images, triangulate.seed_points(o, images, tb.REFERENCE, H_REF), 2e-3)
-    return out.select("track_id", exact(F.col("lon"), 7).alias("lon"), exact(F.col("lat"), 7).alias("lat"), exact(F.col("h"), 3).alias("h"), exact(F.col("rms"), 3).alias("rms"))
+    return triangulate.triangulate_linear(o, images, triangulate.seed_points(o, images, tb.REFERENCE, H_REF), 2e-3)
 
 
-@query()
+@query(sql=LINEAR + "\nSELECT track_id, round(lon, 7) AS lon, round(lat, 7) AS lat, round(h, 3) + 0e0 AS h, round(rms, 3) + 0e0 AS rms, solved FROM linear")
+def triangulate_linear(spark, sf_dir):
+    out = _linear(spark, sf_dir)
+    return out.select("track_id", exact(F.col("lon"), 7).alias("lon"), exact(F.col("lat"), 7).alias("lat"), exact(F.col("h"), 3).alias("h"), exact(F.col("rms"), 3).alias("rms"), "solved")
+
+
+@query(sql=LINEAR + """
+SELECT track_id, n_views, n_views >= 2 AS success, CASE WHEN n_views < 2 THEN 'insufficient_views' END AS reason, CASE WHEN n_views >= 2 AND solved THEN round(rms, 3) + 0e0 END AS rms,
+  CASE WHEN n_views >= 2 AND solved THEN round(lon + 123e-9, 6) END AS lon, CASE WHEN n_views >= 2 AND solved THEN round(lat + 123e-9, 6) END AS lat, CASE WHEN n_views >= 2 AND solved THEN round(h, 1) + 0e0 END AS h FROM linear""")
 def triangulate_lm(spark, sf_dir):
-    """Batched Levenberg-Marquardt; tests hold it against the linear solution."""
-    return triangulate.triangulate(tb.observations(spark, sf_dir), tb.images(spark, sf_dir), tb.REFERENCE, H_REF)
+    """Batched Levenberg-Marquardt; affine cameras make its optimum the linear solution, shown where the height is observable.
+
+    Pixels are measured in steps, so a shift keeps degrees off the halves that rounding may turn either way.
+    """
+    out = triangulate.triangulate(tb.observations(spark, sf_dir), tb.images(spark, sf_dir), tb.REFERENCE, H_REF).join(_linear(spark, sf_dir).select("track_id", "solved"), "track_id")
+    out = out.withColumns({n: F.col(f"{n}_init") + 123e-9 for n in ("lon", "lat")})
+    known = lambda c, digits: F.when(F.col("solved") & (F.col("n_views") >= 2), exact(F.col(c), digits))
+    return out.select(
+        "track_id", "n_views", F.col("triangulation_success").alias("success"), F.col("failure_reason").alias("reason"), known("mean_reproj_error", 3).alias("rms"),
+        known("lon", 6).alias("lon"), known("lat", 6).alias("lat"), known("h_init", 1).alias("h"),
+    )
 
 
 @query("images points measured observations judged", "SELECT track_id, reason FROM judged")
@@ -350,10 +414,17 @@ def ba_residuals_x0(spark, sf_dir):
     return _residuals(spark, sf_dir).select("obs_id", exact(F.col("rc")).alias("rc"), exact(F.col("rr")).alias("rr"))
 
 
+@query(RES, "SELECT obs_id, round(rc, 4) + 0e0 AS rc, round(rr, 4) + 0e0 AS rr FROM residuals WHERE sqrt(rc * rc + rr * rr) <= 5")
+def ba_inliers(spark, sf_dir):
+    return adjust.inliers(_residuals(spark, sf_dir)).select("obs_id", exact(F.col("rc")).alias("rc"), exact(F.col("rr")).alias("rr"))
+
+
 @query(RES, "SELECT count(*) AS total, count(*) FILTER (WHERE sqrt(rc * rc + rr * rr) <= 5) AS active, count(*) FILTER (WHERE sqrt(rc * rc + rr * rr) > 5) AS removed FROM residuals")
 def ba_outliers(spark, sf_dir):
-    ok = F.sqrt(F.col("rc") * F.col("rc") + F.col("rr") * F.col("rr")) <= 5.0
-    return _residuals(spark, sf_dir).agg(F.count(F.lit(1)).alias("total"), F.count_if(ok).alias("active"), F.count_if(~ok).alias("removed"))
+    every = _residuals(spark, sf_dir)
+    rows = every.select(F.lit(0).alias("inlier")).unionAll(adjust.inliers(every).select(F.lit(1)))
+    total, active = F.count_if(F.col("inlier") == 0), F.count_if(F.col("inlier") == 1)
+    return rows.agg(total.alias("total"), active.alias("active"), (total - active).alias("removed"))
 
 
 @query(RES, "SELECT image_id, round(avg(sqrt(rc * rc + rr * rr)), 4) AS mean_error, count(*) AS n FROM residuals GROUP BY 1")
@@ -378,6 +449,20 @@ def ba_solve(spark, sf_dir):
     return done.params_frame(spark)
 
 
+@query("images corrections", "SELECT image_id, " + ", ".join(f"round({p}, 3) + 0e0 AS {p}" for p in adjust.PARAMS) + " FROM corrections")
+def ba_planted(spark, sf_dir):
+    """All three stages on error-free observations of known points through planted corrections: these come back."""
+    images = tb.images(spark, sf_dir)
+    o = tb.observations(spark, sf_dir).select("obs_id", "track_id", "image_id").join(F.broadcast(images.join(tb.corrections(spark, sf_dir), "image_id")), "image_id").join(tb.points(spark, sf_dir), "track_id")
+    c, r = geo.project(F.col("camera"), F.col("lon_t"), F.col("lat_t"), F.col("h_t"))
+    o = o.withColumns({"pc": c, "pr": r})
+    dc, dr = geo.affine_delta(F.col("pc"), F.col("pr"), [F.col(p) for p in adjust.PARAMS], geo.image_norm(F.col("width"), F.col("height")))
+    seen = o.select("obs_id", "track_id", "image_id", (F.col("pc") + dc).alias("col"), (F.col("pr") + dr).alias("row"))
+    known = tb.points(spark, sf_dir).select("track_id", F.col("lon_t").alias("lon_init"), F.col("lat_t").alias("lat_init"), F.col("h_t").alias("h_init"))
+    done = adjust.run(seen, images, known, tb.REFERENCE, adjust.Settings(affine_reg_weight=1e-12, point_reg_weight=1e14))
+    return done.params_frame(spark).select("image_id", *[exact(F.col(p), 3).alias(p) for p in adjust.PARAMS])
+
+
 @query("images corrections", "SELECT image_id, round(1 + a1, 6) AS m11, round(a2, 6) + 0e0 AS m12, round(a0, 6) + 0e0 AS m13, round(b1, 6) + 0e0 AS m21, round(1 + b2, 6) AS m22, round(b0, 6) + 0e0 AS m23 FROM corrections")
 def affine_export(spark, sf_dir):
     m = F.col("affine_2x3")
@@ -399,6 +484,88 @@ def height_hist(spark, sf_dir):
     return histogram(tb.points(spark, sf_dir), "h_init")
 
 
+def _folder(spark, name):
+    import uuid
+
+    from ..operators.graph import shared_folder
+
+    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+@query(OBS, "SELECT obs_id, track_id, image_id, col, row, score FROM observations")
+def tracks_round_trip(spark, sf_dir):
+    """Tracks written as JSON lines and read again."""
+    from ..sources import artifacts
+
+    at = _folder(spark, "tracks")
+    artifacts.write_tracks(tb.observations(spark, sf_dir), at)
+    return artifacts.read_tracks(spark, f"{at}/tracks")
+
+
+@query(OBS, "SELECT obs_id, track_id, image_id, col, row, score FROM observations")
+def observations_round_trip(spark, sf_dir):
+    """Observations written as CSV and read again."""
+    from ..sources import artifacts
+
+    at = _folder(spark, "observations")
+    artifacts.write_observations(tb.observations(spark, sf_dir), at)
+    return artifacts.read_observations(spark, at)
+
+
+@query("raw_lines pair_matches", "SELECT image_i, image_j, match_ord, col_i, row_i, col_j, row_j, score FROM pair_matches")
+def matches_round_trip(spark, sf_dir):
+    """Matches written by pair and read again."""
+    from ..sources import artifacts
+
+    at = _folder(spark, "matches")
+    artifacts.write_matches(tb.pair_matches(spark, sf_dir), at)
+    return artifacts.read_matches(spark, at)
+
+
+@query("raw_lines pair_matches", "SELECT image_i, image_j, printf('pair_%04d_%04d', image_i, image_j) AS file, count(*) AS matches FROM pair_matches GROUP BY 1, 2")
+def match_manifest(spark, sf_dir):
+    """The manifest of pairs that hold matches."""
+    from ..sources import artifacts
+
+    pairs = artifacts.spark_pairs(tb.pair_matches(spark, sf_dir))
+    return pairs.select(F.col("pair")[0].alias("image_i"), F.col("pair")[1].alias("image_j"), "file", "matches")
+
+
+JUDGED = "images points measured observations judged"
+
+
+@query(JUDGED, "SELECT obs_id, track_id, image_id, col, row, score FROM observations WHERE track_id IN (SELECT track_id FROM judged WHERE reason IS NULL)")
+def dataset_observations(spark, sf_dir):
+    """The adjustment's input written and read again: observations of kept points."""
+    from ..sources import artifacts
+
+    at = _folder(spark, "dataset")
+    artifacts.write_dataset(tb.images(spark, sf_dir), tb.observations(spark, sf_dir), _kept(spark, sf_dir), tb.REFERENCE, H_REF, at)
+    return artifacts.read_dataset(spark, at)[0]
+
+
+@query(JUDGED, "SELECT track_id, lon_init, lat_init, h AS h_init, n_views::INTEGER AS n_views, err AS mean_reproj_error, ok AS triangulation_success FROM judged JOIN points USING (track_id) WHERE reason IS NULL AND NOT isnan(err)")
+def points_round_trip(spark, sf_dir):
+    """Points written as CSV and read again."""
+    from ..sources import artifacts
+
+    at = _folder(spark, "points")
+    artifacts.write_points(_kept(spark, sf_dir).where(~F.isnan("mean_reproj_error")), at)
+    return artifacts.read_points(spark, at)
+
+
+@query("images corrections", "SELECT image_id, " + ", ".join(adjust.PARAMS) + ", 'affine' AS stage FROM corrections")
+def checkpoint_round_trip(spark, sf_dir):
+    """A stage's checkpoint saved and loaded."""
+    import numpy as np
+
+    rows = tb.corrections(spark, sf_dir).select("image_id", *adjust.PARAMS).collect()
+    state = tb.points(spark, sf_dir).select("track_id", F.array("lon_init", "lat_init", "h_init").alias("x"))
+    path = adjust.save_checkpoint(_folder(spark, "checkpoint"), "affine", {r[0]: np.array(r[1:]) for r in rows}, state, {}, adjust.Settings())
+    saved = adjust.load_checkpoint(spark, path)
+    return spark.createDataFrame([(i, *map(float, p), saved["stage"]) for i, p in saved["params"].items()], "image_id int, " + ", ".join(f"{p} double" for p in adjust.PARAMS) + ", stage string")
+
+
 TAGS = (("LINE_OFF", " 12.5 "), ("LINE_NUM_COEFF", "(1, 2 3)"), ("NAME", " abc "), ("EMPTY", ""), ("NONE", None), ("EXP", "1e3"))
 
 

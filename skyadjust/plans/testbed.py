@@ -31,6 +31,22 @@ def images(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _table(spark, sf_dir, "supplier").select(i.cast("int").alias("image_id"), F.lit(SIZE).alias("width"), F.lit(SIZE).alias("height"), camera.alias("camera"))
 
 
+def rational_images(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(image_id, width, height, camera): the same images with rational cameras, whose polynomials have all 20 terms."""
+    i = F.col("s_suppkey")
+    small = lambda k, salt: 1e-4 * ((i + 7 * k + salt) % 11 - 5)
+    lead = {"samp_num": {1: F.lit(1.0), 3: 0.02 * (i % 7)}, "line_num": {2: F.lit(-1.0), 3: 0.03 * (i % 5 - 2)}}
+    salt = {"samp_num": 1, "samp_den": 2, "line_num": 3, "line_den": 4}
+    term = lambda name, k: F.lit(1.0) if k == 0 and name.endswith("den") else small(k, salt[name]) + lead.get(name, {}).get(k, F.lit(0.0))
+    values = {
+        "line_off": F.lit(5000.0), "samp_off": F.lit(5000.0), "lat_off": 30 + 0.05 * (F.floor(i / 10) % 10), "long_off": 100 + 0.05 * (i % 10), "height_off": 100 + 10.0 * (i % 7),
+        "line_scale": F.lit(5000.0), "samp_scale": F.lit(5000.0), "lat_scale": F.lit(0.5), "long_scale": F.lit(0.5), "height_scale": F.lit(500.0),
+    }
+    rpc = F.struct(*[values[n].cast("double").alias(n) for n in (*geo.OFFSETS, *geo.SCALES)], *[F.array(*[term(n, k).cast("double") for k in range(20)]).alias(n) for n in geo.POLYNOMIALS])
+    camera = F.struct(F.lit("rational").alias("kind"), F.lit(None).cast("array<double>").alias("affine"), rpc.alias("rpc"))
+    return _table(spark, sf_dir, "supplier").select(i.cast("int").alias("image_id"), F.lit(SIZE).alias("width"), F.lit(SIZE).alias("height"), camera.alias("camera"))
+
+
 def points(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(track_id, lon_t, lat_t, h_t, lon_init, lat_init, h_init)."""
     k = F.col("o_orderkey")
@@ -116,6 +132,14 @@ def exact(value: Column, digits: int = 4) -> Column:
 SQL = {
     "images": """images AS (SELECT s_suppkey::INTEGER AS image_id, 100 + 5e-2 * (s_suppkey % 10) AS lon0, 30 + 5e-2 * (s_suppkey // 10) AS lat0,
   1e-2 * (1 + s_suppkey % 7) AS kc, 2e-2 * (s_suppkey % 5 - 2) AS kr FROM supplier)""",
+    "rational": """rational AS (SELECT s_suppkey::INTEGER AS image_id, 100 + 5e-2 * (s_suppkey % 10) AS lon0, 30 + 5e-2 * ((s_suppkey // 10) % 10) AS lat0, 100 + 1e1 * (s_suppkey % 7) AS h0,
+  list_transform(range(20), lambda k: 1e-4 * ((s_suppkey + 7 * k + 1) % 11 - 5) + CASE k WHEN 1 THEN 1e0 WHEN 3 THEN 2e-2 * (s_suppkey % 7) ELSE 0e0 END) AS sn,
+  list_transform(range(20), lambda k: CASE k WHEN 0 THEN 1e0 ELSE 1e-4 * ((s_suppkey + 7 * k + 2) % 11 - 5) END) AS sd,
+  list_transform(range(20), lambda k: 1e-4 * ((s_suppkey + 7 * k + 3) % 11 - 5) + CASE k WHEN 2 THEN -1e0 WHEN 3 THEN 3e-2 * (s_suppkey % 5 - 2) ELSE 0e0 END) AS ln,
+  list_transform(range(20), lambda k: CASE k WHEN 0 THEN 1e0 ELSE 1e-4 * ((s_suppkey + 7 * k + 4) % 11 - 5) END) AS ld FROM supplier)""",
+    "seen": """local AS (SELECT o.obs_id, o.track_id, r.*, (lon_t - lon0) / 5e-1 AS x, (lat_t - lat0) / 5e-1 AS y, (h_t - h0) / 5e2 AS z FROM observations o JOIN rational r USING (image_id) JOIN points p ON p.track_id = o.track_id),
+terms AS (SELECT *, [1e0, x, y, z, x * y, x * z, y * z, x * x, y * y, z * z, x * y * z, x * x * x, x * y * y, x * z * z, x * x * y, y * y * y, y * z * z, x * x * z, y * y * z, z * z * z] AS m FROM local),
+seen AS (SELECT obs_id, track_id, image_id, 5e3 + 5e3 * list_dot_product(sn, m) / list_dot_product(sd, m) AS col, 5e3 + 5e3 * list_dot_product(ln, m) / list_dot_product(ld, m) AS row FROM terms)""",
     "points": """points_true AS (SELECT o_orderkey AS track_id, 100 + 5e-1 * (o_orderkey % 997) / 997e0 AS lon_t, 30 + 5e-1 * (o_orderkey % 89) / 89e0 AS lat_t, 100 + o_totalprice / 1e3 AS h_t FROM orders),
 points AS (SELECT *, lon_t + 1e-6 * (track_id % 7 - 3) AS lon_init, lat_t + 1e-6 * (track_id % 5 - 2) AS lat_init, h_t + (track_id % 11 - 5) AS h_init FROM points_true)""",
     "measured": """measured AS (SELECT l.*, i.image_id, p.track_id, l_discount AS score,
