@@ -65,7 +65,7 @@ class PairTree:
 class Tokenizer:
     """A byte-level BPE tokenizer read from the JSON text of the public ``tokenizers`` format."""
 
-    CACHE = 150_000
+    CACHE = 250_000
 
     def __init__(self, definition: str):
         spec = json.loads(definition)
