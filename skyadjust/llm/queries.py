@@ -26,12 +26,15 @@ def tokenizer_json(name: str = TOKENIZER) -> str:
 
 
 def op1_warc_transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = Scratch(spark, "warc").path("archives")
+    scratch = Scratch(spark, "warc")
+    path = scratch.path("archives")
     warc.write(table(spark, sf_dir, "pages"), path)
-    captures = warc.assemble(warc.read(spark, path, payload=False))
+    captures = warc.assemble(scratch.save(warc.read(spark, path, payload=False), "records"))
+    # The page is what the joined metadata record says, so a record that missed its capture shows.
+    said = F.get(F.filter(F.get("metadata", F.lit(0))["fields"], lambda f: f["key"] == "pageId"), F.lit(0))["value"]
     page = lambda c: F.regexp_extract(c, r"^<urn:page:(-?\d+):", 1).try_cast("long")
     return captures.select(
-        page(F.col("response.record_id")).alias("page_id"), F.col("response.payload_bytes").alias("payload_bytes"), F.col("response.payload_digest").alias("payload_digest"),
+        said.try_cast("long").alias("page_id"), F.col("response.payload_bytes").alias("payload_bytes"), F.col("response.payload_digest").alias("payload_digest"),
         F.col("response.type").alias("record_type"), F.when(F.col("response.refers_to").isNotNull(), page(F.col("response.refers_to"))).alias("refers_to"),
         F.size("requests").alias("n_requests"), F.size("metadata").alias("n_metadata"),
     )
