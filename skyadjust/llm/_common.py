@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import gc
+import re
 import tempfile
 import uuid
 
@@ -17,9 +18,11 @@ DOC_COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir``; where unset (tests), a folder of our own."""
+    """The folder all executors share: ``spark.checkpoint.dir``; where unset (tests), a folder of our own, on a local master only."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir is not set: executors need a folder that all of them share")
         found = "file://" + tempfile.mkdtemp(prefix="skyadjust-")
         spark.conf.set("spark.checkpoint.dir", found)
     if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
