@@ -135,6 +135,29 @@ def test_candidates_reach_every_member_of_a_component(prose):
     assert len(want) > 2 and found <= want and {i for p in found for i in p} == {i for p in want for i in p}
 
 
+def test_sketch_distance_is_a_lower_bound(prose):
+    r = random.Random(4)
+    texts = []
+    for n in (10, 150, 900, 4000):
+        t = prose(n, n, 10_000)
+        texts += [t, near(t, r, 0.03)]
+    first, s = jaccard.shingle_sets(pa.array(texts))
+    bits = pa.array(jaccard.parity_sketches(first, s))
+    for i in range(0, len(texts), 2):
+        a, b = (set(s[first[k] : first[k + 1]].tolist()) for k in (i, i + 1))
+        far = jaccard.distances(bits.slice(i, 1), bits.slice(i + 1, 1))[0]
+        assert (far > 0) == (a != b) and far <= len(a ^ b)
+
+
+def test_pigeonhole_leaves_enough_chunks():
+    rng = np.random.default_rng(0)
+    for n in (1, 2, 3, 4, 5, 6, 7, 12, 13, 50, 127, 128, 200, 255, 256, 1000, 5000):
+        s = np.unique(rng.integers(0, 1 << 64, n, dtype=np.uint64))
+        _, items, _ = jaccard.sketch_chunks(np.array([0, len(s)]), s, np.zeros(0, np.uint64))
+        which, _ = jaccard.roles(np.array([len(s)]))
+        assert len(items) >= len(which) * ((n + 4 * n // 3) // 7 + n // 48 + 1)
+
+
 @pytest.mark.parametrize("rows", [[(3, "a b c d e f g h"), (1, "A B C D E F G H"), (2, "z y x w v u t"), (4, None), (5, "")]])
 def test_keep_first(make_docs, rows):
     kept = jaccard.keep_first(make_docs(rows))
