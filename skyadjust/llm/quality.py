@@ -1,14 +1,15 @@
 """Quality classifier: Bradley-Terry pairwise ranking.
 
 A document's strength is a linear score of text features.  The score is learned from preference
-pairs (a document labelled 1 beats one labelled 0) by logistic loss on feature differences; the
-threshold is the score quantile that the labels' share of 0 marks.
+pairs (a document labelled 1 beats one labelled 0) by logistic loss on feature differences, drawn
+from a bounded sample; the threshold is the quantile of the scores of all labelled documents that
+the share of 0 among their labels marks.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -16,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..shipping import map_arrow
-from ._common import text_or_empty
+from ._common import Scratch, text_or_empty
 from ._words import SPACE, Words, slices
 
 #: Score at and above which a document counts as good.
@@ -71,16 +72,20 @@ def features(texts: pa.Array) -> np.ndarray:
 
 @dataclass(frozen=True)
 class Ranking:
-    """A fitted ranking: raw score = (x - centre) / scale @ weight; ``cut`` is the threshold's raw score."""
+    """A fitted ranking: the raw score weighs (x - centre) / scale; ``cut`` is the threshold's raw score."""
 
     centre: np.ndarray
     scale: np.ndarray
     weight: np.ndarray
     cut: float
 
+    def raw(self, x: np.ndarray) -> np.ndarray:
+        """Raw scores; a row's does not depend on the rows beside it, to the last bit."""
+        return ((x - self.centre) / self.scale * self.weight).sum(1)
+
     def score(self, x: np.ndarray) -> np.ndarray:
         """0 to 1; THRESHOLD exactly at the cut."""
-        raw = (x - self.centre) / self.scale @ self.weight - self.cut + np.log(THRESHOLD / (1 - THRESHOLD))
+        raw = self.raw(x) - self.cut + np.log(THRESHOLD / (1 - THRESHOLD))
         return 1 / (1 + np.exp(-np.clip(raw, -30, 30)))
 
 
@@ -88,7 +93,7 @@ def fit(x: np.ndarray, y: np.ndarray, ridge: float = 1e-3, steps: int = 25, seed
     """Newton steps on the mean logistic loss of ``PAIRS`` seeded preference pairs plus a ridge.
 
     With one label only, or no rows, there is no preference: the weights are zero and every document
-    scores THRESHOLD, which keeps it.
+    scores THRESHOLD, which keeps it.  The cut is left at zero: ``train`` takes it from all labelled rows.
     """
     d = N_FEATURES
     good, bad = np.flatnonzero(y == 1), np.flatnonzero(y == 0)
@@ -108,9 +113,7 @@ def fit(x: np.ndarray, y: np.ndarray, ridge: float = 1e-3, steps: int = 25, seed
         w = w - step
         if np.abs(step).max() < 1e-8:
             break
-    raw = np.sort(z @ w)
-    k = len(bad)
-    return Ranking(centre, scale, w, float((raw[k - 1] + raw[k]) / 2))
+    return Ranking(centre, scale, w, 0.0)
 
 
 def _map(df: DataFrame, columns: str, fn) -> DataFrame:
@@ -124,19 +127,49 @@ def _map(df: DataFrame, columns: str, fn) -> DataFrame:
     return map_arrow(df, run, columns)
 
 
+def middle(values: DataFrame, k: int, parts: int = 4096) -> float:
+    """Mean of the k-th and the next smallest number of column ``v`` (k from 1, of more than k rows).
+
+    Exact at any size: counts of ``parts`` ranges are collected, and the range that holds the k-th
+    is parted again until it holds one number.
+    """
+    lo, hi = values.agg(F.min("v"), F.max("v")).first()
+    ahead = 0
+    while lo < hi:
+        part = F.least(F.floor((F.col("v") - lo) / ((hi - lo) / parts)), F.lit(parts - 1))
+        for _, n, lo, hi in sorted(values.where(F.col("v").between(lo, hi)).groupBy(part.alias("p")).agg(F.count("v"), F.min("v"), F.max("v")).collect()):  # noqa: B020
+            if ahead + n >= k:
+                break
+            ahead += n
+    upto, after = values.agg(F.count_if(F.col("v") <= lo), F.min(F.when(F.col("v") > lo, F.col("v")))).first()
+    return lo if upto > k else (lo + after) / 2
+
+
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Ranking:
-    """Fit on at most ``sample`` labelled documents that are not held out (crc32 of doc_id mod 5 is not 0).
+    """Weights from at most ``sample`` labelled documents, the threshold from all of them; none that is held out.
 
-    The sample is what orders first by a hash of doc_id: a top-k, so the driver holds ``sample`` rows.
-    Null labels are no labels; of a document's repeated labels the largest counts.
+    Held out is a doc_id whose crc32 mod 5 is 0.  The sample is what orders first by a hash of
+    doc_id: a top-k, so the driver holds ``sample`` rows; of rows that share a doc_id it takes the
+    smallest text.  Null labels are no labels; of a document's repeated labels the largest counts.
+    All labelled rows are scored for the threshold; labels too many to broadcast meet scores, not texts.
     """
+    spark = docs.sparkSession
+    scratch = Scratch(spark, "quality")
     own = labels.where(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull()).where(F.crc32(F.col("doc_id").cast("string")) % 5 != 0)
-    own = own.select("doc_id", F.col("quality").cast("int").alias("y")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample).groupBy("doc_id").agg(F.max("y").alias("y"))
-    rows = docs.select("doc_id", text_or_empty().alias("text")).join(F.broadcast(own), "doc_id").select(F.struct("doc_id", "y").alias("key"), "text")
+    own = scratch.save(own.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("quality").cast("int").alias("y")), "labels")
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
+    chosen = own.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
+    rows = texts.join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "y").agg(F.min("text").alias("text")).select(F.struct("doc_id", "y").alias("key"), "text")
     got = _map(rows, "key struct<doc_id:bigint,y:int>, x array<double>", lambda x: [pa.array(list(x), pa.list_(pa.float64()))]).collect()
-    got.sort(key=lambda r: (r["key"]["doc_id"], tuple(r["x"])))
+    got.sort(key=lambda r: r["key"]["doc_id"])
     x = np.array([r["x"] for r in got]).reshape(len(got), N_FEATURES)
-    return fit(x, np.array([r["key"]["y"] for r in got]))
+    ranking = fit(x, np.array([r["key"]["y"] for r in got]))
+    if not ranking.weight.any():
+        return ranking
+    few = own.count() <= 300_000
+    scored = _map(texts.join(F.broadcast(own.select("doc_id")), "doc_id", "left_semi") if few else texts, "doc_id long, v double", lambda x: [pa.array(ranking.raw(x), pa.float64())])
+    scored = scratch.save(scored.join(F.broadcast(own) if few else own, "doc_id").select("y", "v"), "scored")
+    return replace(ranking, cut=float(middle(scored.select("v"), scored.where("y = 0").count())))
 
 
 def classify(docs: DataFrame, ranking: Ranking) -> DataFrame:
