@@ -74,19 +74,21 @@ def judge(pages: DataFrame, rule_items: Sequence[tuple[str, str]], listed: DataF
     """Verdict of every URL.
 
     A rule ``host/path`` fits its host and all subdomains when the URL's path starts with the
-    rule's; the longest fitting rule wins.  Without a rule, a URL whose canonical form is in
+    rule's; the longest fitting rule wins, of equally long ones the last by code point.  Without a rule, a URL whose canonical form is in
     ``listed`` (column ``key``) is blocked, any other allowed.  Returns (page_id, host, path, rule,
     verdict), one row per input row.  Null URLs and URLs without ``://`` have empty host and path
     and are allowed; repeated rows and ids stay; an empty table or list gives no hits; other columns
-    of ``pages`` are not read.  Distinct URLs are judged once, so a very common URL costs one row.
+    of ``pages`` are not read.  Distinct URLs are judged once, so a very common URL costs one row;
+    of a host of many labels only as many are tried as a rule's host has, so a long URL costs its length.
     """
     spark = pages.sparkSession
     url = F.col("url")
     lengths = sorted({len(r) - r.index("/") for _, r in rule_items})
+    labels = max((r[: r.index("/")].count(".") + 1 for _, r in rule_items), default=1)
     own = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).cast("string").alias("url"))
     distinct = own.where(F.instr("url", "://") > 0).select("url").distinct()
     parts = F.split(host_of(url), r"\.")
-    suffixes = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.array_join(F.slice(parts, i, F.size(parts)), "."))
+    suffixes = F.transform(F.sequence(F.greatest(F.lit(1), F.size(parts) - (labels - 1)), F.size(parts)), lambda i: F.array_join(F.slice(parts, i, F.size(parts)), "."))
     path = path_of(url)
     tails = F.array_compact(F.array(*[F.when(F.length(path) >= k, F.substring(path, 1, k)) for k in lengths])) if lengths else F.expr("cast(array() as array<string>)")
     keys = F.flatten(F.transform(suffixes, lambda s: F.transform(tails, lambda t: F.concat(F.lit("r:"), s, t))))
@@ -97,5 +99,7 @@ def judge(pages: DataFrame, rule_items: Sequence[tuple[str, str]], listed: DataF
     is_rule = F.col("key").startswith("r:")
     text = F.when(is_rule, F.expr("substr(key, 3)"))
     best = found.groupBy(F.col("url").alias("hit_url")).agg(F.max_by(F.struct(text.alias("rule"), F.col("verdict").alias("verdict")), F.struct(is_rule, F.length("key"), F.col("key"))).alias("best"))
-    out = own.join(best, F.col("url") == F.col("hit_url"), "left")
+    # Null URLs and those without a scheme meet nothing: a key of their row's own spreads them.
+    meet = F.when(F.instr(url, "://") > 0, url).otherwise(F.xxhash64("page_id").cast("string"))
+    out = own.withColumn("meet", meet).join(best, F.col("meet") == F.col("hit_url"), "left")
     return out.select("page_id", host_of(url).alias("host"), path.alias("path"), F.col("best.rule").alias("rule"), F.coalesce(F.col("best.verdict"), F.lit("allow")).alias("verdict"))
