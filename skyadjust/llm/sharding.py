@@ -15,6 +15,9 @@ from pyspark.sql import functions as F
 from ._common import Scratch, text_or_empty
 
 GROUP = ["g", "crc", "size"]
+#: Quota of a shard while labels move, in mean shard sizes: where most texts have copies, quotas of one mean
+#: leave no room to move into.  The cut along the line evens what the quota lets in.
+QUOTA = 2.0
 
 
 def running(df: DataFrame, coarse: Column, n_coarse: int, fine: Column, order: list[Column], value: Column) -> DataFrame:
@@ -92,7 +95,7 @@ def shard(docs: DataFrame, shards: int = 40, id_col: str = "doc_id", text_col: s
     counted = base.groupBy(*GROUP, "c0").agg(F.count(F.lit(1)).alias("n"))
     groups = counted.groupBy(*GROUP).agg(F.sum("n").alias("n_all"))
     cells = counted.join(groups.where("n_all > 1"), GROUP).select(*GROUP, "c0", (F.col("n") * F.col("size")).alias("bytes"), F.col("c0").alias("shard"))
-    cells = propagate(cells, shards, room, scratch)
+    cells = propagate(cells, shards, room * QUOTA, scratch)
     placed = base.join(cells.select(*GROUP, "c0", F.col("shard").alias("label")), [*GROUP, "c0"], "left")
     placed = scratch.save(placed, "placed")
     linked = placed.where(F.col("label").isNotNull())

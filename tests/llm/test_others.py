@@ -167,6 +167,58 @@ def test_quality_of_odd_rows(spark, make_docs):
     assert quality.train(make_docs(rows), with_null) is not None
 
 
+def test_quality_threshold_is_the_quantile_of_all_labelled_rows(spark):
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
+    label = {r["doc_id"]: r["quality"] for r in labels.collect()}
+    rows = [(label[r["doc_id"]], r["text"] or "") for r in docs.collect() if r["doc_id"] in label and zlib.crc32(str(r["doc_id"]).encode()) % 5]
+    r = quality.train(docs, labels, sample=120)
+    raw = np.sort(r.raw(quality.features(pa.array([t for _, t in rows]))))
+    k = sum(y == 0 for y, _ in rows)
+    assert len(rows) > 200 and r.cut == pytest.approx((raw[k - 1] + raw[k]) / 2)
+    assert quality.train(docs.repartition(7), labels.repartition(3), sample=120).cut == pytest.approx(r.cut, rel=1e-9)
+
+
+def test_middle_equals_sorting(spark):
+    rng = np.random.default_rng(4)
+    for values in (rng.normal(size=500), np.repeat(rng.normal(size=7), 40), np.array([1.0, 1.0, 1.0]), np.array([-3.0, 1e9, 1e9 + 1e-6])):
+        df = spark.createDataFrame([(float(v),) for v in values], "v double")
+        ordered = np.sort(values)
+        for k in {1, len(values) // 2, len(values) - 1}:
+            assert quality.middle(df, k, parts=8) == (ordered[k - 1] + ordered[k]) / 2
+
+
+def test_quality_fit_is_the_optimum_of_plain_pairwise_loss(monkeypatch):
+    rng = np.random.default_rng(5)
+    y = rng.integers(0, 2, 60)
+    x = rng.normal(size=(60, 4)) + y[:, None] * np.array([1.0, -0.5, 0.0, 2.0])
+    monkeypatch.setattr(quality, "N_FEATURES", 4)
+    r = quality.fit(x, y)
+    z = (x - r.centre) / r.scale
+    draw = np.random.default_rng(7)
+    good, bad = [i for i in range(60) if y[i]], [i for i in range(60) if not y[i]]
+    pairs = list(zip(draw.choice(good, quality.PAIRS), draw.choice(bad, quality.PAIRS), strict=True))
+
+    def loss(w):
+        s = z @ w
+        return np.mean([np.log1p(np.exp(s[b] - s[g])) for g, b in pairs]) + 0.5e-3 * float(w @ w)
+
+    best = loss(r.weight)
+    for i in range(4):
+        for step in (1e-3, -1e-3):
+            assert loss(r.weight + step * np.eye(4)[i]) > best
+    assert r.weight[3] > r.weight[0] > 0 > r.weight[1]
+
+
+def test_quality_of_repeated_ids(spark, make_docs, prose):
+    rows = [(i, prose(i, 40) if i % 2 else "$$ !! " * 30) for i in range(40)] + [(2, prose(99, 30))] * 25 + [(None, "no id")]
+    labels = spark.createDataFrame([(i, i % 2, 0) for i in range(40)] * 2, "doc_id long, quality int, toxic int")
+    docs = make_docs(rows)
+    r, again = quality.train(docs, labels, sample=20), quality.train(docs.repartition(6), labels.repartition(2), sample=20)
+    assert np.allclose(r.weight, again.weight) and r.cut == pytest.approx(again.cut)
+    got = quality.classify(docs, r).collect()
+    assert len(got) == len(rows) and len({x["score"] for x in got if x["doc_id"] == 2}) == 2
+
+
 def test_features_do_not_depend_on_neighbours():
     texts = [t or "" for t in ODD_TEXTS]
     whole = quality.features(pa.array(texts))
@@ -198,6 +250,22 @@ def test_shards_are_even_and_keep_groups(make_docs, prose):
     assert len(hot) < 40
 
 
+def test_shards_against_a_plain_count(make_docs, prose):
+    rows = [(i, prose(i % 300, 12 + i % 30)) for i in range(900)] + [(2000 + i, "copy") for i in range(400)] + [(None, "x"), (7, None), (7, "")]
+    got = sharding.shard(make_docs(rows)).collect()
+    key = lambda i, t: (str(i), len((t or "").encode()) + 16, zlib.crc32((t or "").encode()))
+    assert sorted((str(r["doc_id"]), r["size"], r["text_crc32"]) for r in got) == sorted(key(i, t) for i, t in rows)
+    total, load, slots, homes = sum(r["size"] for r in got), [0] * 40, [[] for _ in range(40)], {}
+    for r in got:
+        load[r["shard"]] += r["size"]
+        slots[r["shard"]].append(r["slot"])
+        homes.setdefault((r["text_crc32"], r["size"]), set()).add(r["shard"])
+    most = max(r["size"] for r in got)
+    assert all(abs(n - total / 40) <= 2 * most for n in load) and all(sorted(s) == list(range(len(s))) for s in slots)
+    # The line of labels has 39 cuts, each through one group at most; the large group has its own.
+    assert sum(len(h) > 1 for h in homes.values()) <= 40
+
+
 def test_shard_small_tables(make_docs):
     assert sharding.shard(make_docs([])).count() == 0
     one = sharding.shard(make_docs([(1, "a"), (2, "a"), (3, None)])).collect()
@@ -240,6 +308,15 @@ def test_url_rules_and_list(spark):
     assert urlfilter.judge(df, (), listed.limit(0)).where("verdict = 'block'").count() == 0
 
 
+def test_url_of_many_labels_and_equally_long_rules(spark):
+    deep = ".".join(["a"] * 3000) + ".example.com"
+    rows = [(1, f"http://{deep}/en/7"), (2, f"http://{deep}.org/"), (3, "http://x.ab.cd/p"), *[(None, None)] * 50]
+    df = spark.createDataFrame(rows, "page_id long, url string")
+    rules = (*queries.RULES, ("block", "ab.cd/p"), ("allow", "cd/"), ("allow", "b.cd/p"))
+    got = [(r["page_id"], r["rule"], r["verdict"]) for r in urlfilter.judge(df, rules, spark.createDataFrame([], "key string")).collect()]
+    assert sorted(got, key=str) == sorted([(1, "example.com/en/7", "allow"), (2, None, "allow"), (3, "ab.cd/p", "block"), *[(None, None, "allow")] * 50], key=str)
+
+
 def test_bloom_lets_all_entries_pass(spark):
     entries = spark.range(500).selectExpr("concat('k', id) AS key", "id AS v")
     keys = spark.range(1500).selectExpr("concat('k', id) AS key")
