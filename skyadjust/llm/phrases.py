@@ -2,10 +2,11 @@
 
 A window is 35 consecutive words.  Equal windows share their anchor, the eight-word phrase of lowest
 hash among the window's 28, so only windows whose anchor recurs need be counted.  Those are counted
-exactly; the windows that start in two places are the confirmed recurring passages.  Their anchors
-are compiled into Aho-Corasick automata over word numbers, one for each bounded group of documents,
-and the group's documents stream through it: at every occurrence of a phrase the windows around it
-that are confirmed are marked, and marked words go.
+exactly, by group of documents first; the windows that start in two places are the confirmed recurring
+passages.  Their anchors are compiled into Aho-Corasick automata over word numbers, one for each
+bounded group of documents, and every document of the group with a recurring anchor streams through it:
+the automaton locates the phrases, the windows around them that are confirmed are marked, and marked
+words go.
 
 Texts that are equal as a whole are one text with a number of copies: each of their windows recurs,
 so a text of copies loses all its words, and only distinct texts travel further.
@@ -29,6 +30,8 @@ WINDOW = 35
 PHRASE = 8
 #: Distinct texts that share one automaton.
 GROUP = 1500
+#: A key that holds one row in SHARES or more is not shuffled.
+SHARES = 4096
 
 
 def _lowest(x: np.ndarray, want: int) -> np.ndarray:
@@ -204,6 +207,13 @@ def _locate(rows: DataFrame) -> DataFrame:
     return map_arrow(rows, run, "th long, n_removed long, kept string")
 
 
+def _join_keys(rows: DataFrame, keys: DataFrame, key: str, total: int) -> DataFrame:
+    """``rows`` whose key is among ``keys`` (key, n), n rows each: of ``total`` rows at most SHARES keys hold one in SHARES, which are broadcast; the rest shuffle."""
+    hot = F.broadcast(keys.where(F.col("n") * SHARES >= total).select(key))
+    rest = keys.where(F.col("n") * SHARES < total).select(key)
+    return rows.join(hot, key, "left_semi").unionByName(rows.join(hot, key, "left_anti").join(rest, key, "left_semi"))
+
+
 def text_hash(text_col: str = "text"):
     """A text's 64-bit key; equal texts share it."""
     t = text_or_empty(text_col)
@@ -221,8 +231,9 @@ def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tup
     profiles = scratch.save(_profiles(own), "profiles")
     classes = scratch.save(profiles.groupBy("th").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies"), F.max("n_words").alias("n_words")), "classes")
     spots = profiles.select("th", F.explode("anchors").alias("x")).select("th", F.col("x.a").alias("a"), F.col("x.t").alias("t"))
-    often = spots.groupBy("a").agg(F.min("th").alias("lo"), F.max("th").alias("hi"), F.max("t").alias("t")).where("lo < hi or t").select("a")
-    known = scratch.save(spots.join(often, "a").groupBy("th").agg(F.collect_set("a").alias("known")), "known")
+    often = scratch.save(spots.groupBy("a").agg(F.min("th").alias("lo"), F.max("th").alias("hi"), F.max("t").alias("t"), F.count(F.lit(1)).alias("n")).where("lo < hi or t").select("a", "n"), "often")
+    total = often.agg(F.sum("n")).first()[0] or 0
+    known = scratch.save(_join_keys(spots, often, "a", total).groupBy("th").agg(F.collect_set("a").alias("known")), "known")
     need = scratch.save(classes.join(known.select("th"), "th").select("th", F.col("rep").alias("doc_id")), "need")
     # Null ids never join: their texts are found by the hash alone.
     ids = broadcast_if_small(need.select("doc_id", F.col("th").alias("want")), need.count())
@@ -231,13 +242,15 @@ def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tup
     marks = scratch.save(_marks(live.join(known, "th")), "marks")
     spread = max(1, need.count() // GROUP)
     group = F.pmod(F.col("th"), F.lit(spread)).cast("int")
-    occ = marks.select("th", "anchor", F.explode("whs").alias("wh"))
-    confirmed = occ.groupBy("wh").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("wh")
-    sure = scratch.save(occ.join(confirmed, "wh").groupBy("th", "anchor").agg(F.collect_set("wh").alias("whs")), "sure")
-    names = marks.select("th", "anchor", "phrase")
-    patterns = sure.join(names, ["th", "anchor"]).groupBy(group.alias("grp"), "anchor").agg(F.first("phrase").alias("phrase"), F.array_distinct(F.flatten(F.collect_list("whs"))).alias("whs"))
+    occ = marks.select(group.alias("grp"), "anchor", F.explode("whs").alias("wh"))
+    # A window of many texts is one row a group before any row moves by its hash alone.
+    held = scratch.save(occ.groupBy("wh", "grp").agg(F.min("anchor").alias("anchor"), F.count(F.lit(1)).alias("n")), "held")
+    confirmed = held.groupBy("wh").agg(F.sum("n").alias("n")).where("n > 1").select("wh")
+    sure = held.join(confirmed, "wh", "left_semi").groupBy("grp", "anchor").agg(F.collect_list("wh").alias("whs"))
+    names = marks.groupBy(group.alias("grp"), "anchor").agg(F.min("phrase").alias("phrase"))
+    patterns = sure.join(names, ["grp", "anchor"])
     patterns = patterns.select("grp", F.lit(0).alias("kind"), F.lit(None).cast("long").alias("th"), "phrase", "whs", F.lit(None).cast("string").alias("text"))
-    texts = live.join(sure.select("th").distinct(), "th", "left_semi").select(group.alias("grp"), F.lit(1).alias("kind"), "th", F.lit(None).cast("binary").alias("phrase"), F.lit(None).cast("array<long>").alias("whs"), "text")
+    texts = live.select(group.alias("grp"), F.lit(1).alias("kind"), "th", F.lit(None).cast("binary").alias("phrase"), F.lit(None).cast("array<long>").alias("whs"), "text")
     located = _locate(patterns.unionByName(texts).repartition("grp").sortWithinPartitions("grp", "kind"))
     whole = classes.where(f"copies > 1 and n_words >= {WINDOW}").select("th", F.col("n_words").alias("n_removed"), F.lit("").alias("kept"))
     changed = scratch.save(located.where("n_removed > 0").join(whole.select("th"), "th", "left_anti").unionByName(whole), "changed")

@@ -2,6 +2,8 @@ import hashlib
 import re
 from collections import Counter
 
+import pytest
+
 from skyadjust.llm import phrases
 
 from .conftest import ODD_TEXTS
@@ -25,7 +27,10 @@ def run(docs):
     return sorted(map(tuple, phrases.dedup(docs).collect()))
 
 
-def test_equals_brute_force(make_docs, prose):
+@pytest.mark.parametrize("shares,group", [(4096, 1500), (1, 3), (8, 1)])
+def test_equals_brute_force(make_docs, prose, monkeypatch, shares, group):
+    monkeypatch.setattr(phrases, "SHARES", shares)
+    monkeypatch.setattr(phrases, "GROUP", group)
     passage, other = prose(1, 60, 10_000), prose(2, 36, 10_000)
     rows = [(i, t) for i, t in enumerate(ODD_TEXTS)]
     rows += [(100 + i, prose(50 + i, 40 + 7 * i) + " " + (passage if i % 2 else other) + "\n" + prose(90 + i, 20)) for i in range(12)]
