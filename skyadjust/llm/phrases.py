@@ -235,16 +235,20 @@ def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tup
     total = often.agg(F.sum("n")).first()[0] or 0
     known = scratch.save(_join_keys(spots, often, "a", total).groupBy("th").agg(F.collect_set("a").alias("known")), "known")
     need = scratch.save(classes.join(known.select("th"), "th").select("th", F.col("rep").alias("doc_id")), "need")
+    n_need = need.count()
     # Null ids never join: their texts are found by the hash alone.
-    ids = broadcast_if_small(need.select("doc_id", F.col("th").alias("want")), need.count())
+    ids = broadcast_if_small(need.select("doc_id", F.col("th").alias("want")), n_need)
     live = own.join(ids, own["doc_id"].eqNullSafe(ids["doc_id"]) & (own["th"] == ids["want"])).select("th", "text").dropDuplicates(["th"])
     live = scratch.save(live, "live")
     marks = scratch.save(_marks(live.join(known, "th")), "marks")
-    spread = max(1, need.count() // GROUP)
+    scratch.drop(often, known, need)
+    scratch.release()
+    spread = max(1, n_need // GROUP)
     group = F.pmod(F.col("th"), F.lit(spread)).cast("int")
     occ = marks.select(group.alias("grp"), "anchor", F.explode("whs").alias("wh"))
     # A window of many texts is one row a group before any row moves by its hash alone.
-    held = scratch.save(occ.groupBy("wh", "grp").agg(F.min("anchor").alias("anchor"), F.count(F.lit(1)).alias("n")), "held")
+    held = scratch.save(occ.groupBy("wh", "grp").agg(F.min("anchor").alias("anchor"), F.count(F.lit(1)).cast("int").alias("n")), "held")
+    scratch.release()
     confirmed = held.groupBy("wh").agg(F.sum("n").alias("n")).where("n > 1").select("wh")
     sure = held.join(confirmed, "wh", "left_semi").groupBy("grp", "anchor").agg(F.collect_list("wh").alias("whs"))
     names = marks.groupBy(group.alias("grp"), "anchor").agg(F.min("phrase").alias("phrase"))
@@ -254,6 +258,7 @@ def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tup
     located = _locate(patterns.unionByName(texts).repartition("grp").sortWithinPartitions("grp", "kind"))
     whole = classes.where(f"copies > 1 and n_words >= {WINDOW}").select("th", F.col("n_words").alias("n_removed"), F.lit("").alias("kept"))
     changed = scratch.save(located.where("n_removed > 0").join(whole.select("th"), "th", "left_anti").unionByName(whole), "changed")
+    scratch.drop(classes, live, marks, held)
     return profiles.select("doc_id", "th", "n_words", "sha"), changed
 
 
