@@ -19,7 +19,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..shipping import map_arrow
@@ -247,18 +247,19 @@ def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tup
     group = F.pmod(F.col("th"), F.lit(spread)).cast("int")
     occ = marks.select(group.alias("grp"), "anchor", F.explode("whs").alias("wh"))
     # A window of many texts is one row a group before any row moves by its hash alone.
-    held = scratch.save(occ.groupBy("wh", "grp").agg(F.min("anchor").alias("anchor"), F.count(F.lit(1)).cast("int").alias("n")), "held")
-    scratch.release()
-    confirmed = held.groupBy("wh").agg(F.sum("n").alias("n")).where("n > 1").select("wh")
-    sure = held.join(confirmed, "wh", "left_semi").groupBy("grp", "anchor").agg(F.collect_list("wh").alias("whs"))
+    held = occ.groupBy("wh", "grp").agg(F.min("anchor").alias("anchor"), F.count(F.lit(1)).alias("n"))
+    confirmed = held.withColumn("all", F.sum("n").over(Window.partitionBy("wh"))).where("all > 1")
+    sure = confirmed.groupBy("grp", "anchor").agg(F.collect_list("wh").alias("whs"))
     names = marks.groupBy(group.alias("grp"), "anchor").agg(F.min("phrase").alias("phrase"))
-    patterns = sure.join(names, ["grp", "anchor"])
-    patterns = patterns.select("grp", F.lit(0).alias("kind"), F.lit(None).cast("long").alias("th"), "phrase", "whs", F.lit(None).cast("string").alias("text"))
+    patterns = scratch.save(sure.join(names, ["grp", "anchor"]), "patterns")
+    scratch.drop(marks)
+    scratch.release()
+    phrases = patterns.select("grp", F.lit(0).alias("kind"), F.lit(None).cast("long").alias("th"), "phrase", "whs", F.lit(None).cast("string").alias("text"))
     texts = live.select(group.alias("grp"), F.lit(1).alias("kind"), "th", F.lit(None).cast("binary").alias("phrase"), F.lit(None).cast("array<long>").alias("whs"), "text")
-    located = _locate(patterns.unionByName(texts).repartition("grp").sortWithinPartitions("grp", "kind"))
+    located = _locate(phrases.unionByName(texts).repartition("grp").sortWithinPartitions("grp", "kind"))
     whole = classes.where(f"copies > 1 and n_words >= {WINDOW}").select("th", F.col("n_words").alias("n_removed"), F.lit("").alias("kept"))
     changed = scratch.save(located.where("n_removed > 0").join(whole.select("th"), "th", "left_anti").unionByName(whole), "changed")
-    scratch.drop(classes, live, marks, held)
+    scratch.drop(classes, live, patterns)
     return profiles.select("doc_id", "th", "n_words", "sha"), changed
 
 
