@@ -31,3 +31,41 @@ def test_mean_scores_do_not_follow_the_order_of_rows(spark):
     got = {r["track_id"]: r["mean_score"] for r in tracks.track_stats(spark.createDataFrame(rows, OBS).coalesce(1)).collect()}
     assert {got.pop(100), got.pop(101)} == {0.0, math.inf}
     assert set(got.values()) == {math.fsum(values) / 5} == {0.03}
+
+
+def test_separate_axes_are_localized_as_closed_forms_are(spark):
+    rng = np.random.default_rng(4)
+    rows = [(int(i), float(c), float(r)) for i, (c, r) in enumerate(rng.uniform(0, 10000, (400, 2)).round(5))]
+    camera = geo.affine_camera(F.lit(100.05), F.lit(30.1), (F.lit(1e5), F.lit(0.0), F.lit(0.03), F.lit(0.0)), (F.lit(0.0), F.lit(-1e5), F.lit(0.02), F.lit(0.0)))
+    lon, lat = geo.localize_affine(camera, F.col("c"), F.col("r"), F.lit(150.0))
+    got = spark.createDataFrame(rows, "i int, c double, r double").select("i", lon, lat).collect()
+    want = [(100.05 + (c - 0.03 * 150.0) / 1e5, 30.1 - (r - 0.02 * 150.0) / 1e5) for _, c, r in rows]
+    assert [tuple(r)[1:] for r in sorted(got)] == want
+    stacked = Cameras({0: Camera("affine", [100.05, 30.1, 1e5, 0.0, 0.03, 0.0, 0.0, -1e5, 0.02, 0.0], None)})
+    x, y = stacked.localize(np.zeros(400, int), *np.array(rows)[:, 1:].T, 150.0)
+    assert list(zip(x.tolist(), y.tolist(), strict=True)) == want
+
+
+def test_affine_tracks_end_at_the_closed_form():
+    """The normal equations of two views with columns c = 1e5 (lon - lon0) + kc h and rows r = -1e5 (lat - lat0) + kr h, term by term as SQL has them."""
+    rng = np.random.default_rng(6)
+    kc, kr = (0.01, 0.05), (0.02, -0.04)
+    both = Cameras({i: Camera("affine", [100.0 + i, 30.0, 1e5, 0.0, kc[i], 0.0, 0.0, -1e5, kr[i], 0.0], None) for i in range(2)})
+    obs = rng.uniform(0, 5000, (300, 2, 2)).round(2)
+    obs[:, 1] = obs[:, 0] + [-1e5, 0.0] + rng.uniform(-20, 20, (300, 2)).round(2)
+    start = np.stack([100.0 + (obs[:, 0, 0] - kc[0] * 150.0) / 1e5, 30.0 - (obs[:, 0, 1] - kr[0] * 150.0) / 1e5, np.full(300, 150.0)], 1)
+    got, _, ok = triangulate.solve_tracks(np.repeat(np.arange(300), 2), 300, np.tile([0, 1], 300), obs.reshape(-1, 2), start, both)
+    want = []
+    for o, (lon, lat, h) in zip(obs.tolist(), start.tolist(), strict=True):
+        e = [(o[i][0] - (1e5 * (lon - (100.0 + i)) + kc[i] * h), o[i][1] - (-1e5 * (lat - 30.0) + kr[i] * h)) for i in range(2)]
+        ec, er, eh = e[0][0] + e[1][0], e[0][1] + e[1][1], (kc[0] * e[0][0] + kr[0] * e[0][1]) + (kc[1] * e[1][0] + kr[1] * e[1][1])
+        sc, sr, hh = kc[0] + kc[1], kr[0] + kr[1], (kc[0] * kc[0] + kr[0] * kr[0]) + (kc[1] * kc[1] + kr[1] * kr[1])
+        dh = (eh - sc * ec / 2 - sr * er / 2) / (hh - sc * sc / 2 - sr * sr / 2)
+        want.append((lon + (ec - sc * dh) / 2 * 1e-5, lat + -(er - sr * dh) / 2 * 1e-5, h + dh))
+    assert ok.all() and got.tolist() == [list(w) for w in want]
+
+
+def test_rounding_is_that_of_the_scaled_value(spark):
+    values = [v for k in range(2000) if (v := float(np.nextafter(30 + (k + 0.5) * 1e-7, 0)))]
+    got = [r[0] for r in spark.createDataFrame([(v,) for v in values], "v double").coalesce(1).select(exact(F.col("v"), 7)).collect()]
+    assert got == [math.floor(v * 1e7 + 0.5) / 1e7 for v in values]
