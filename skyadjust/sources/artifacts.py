@@ -37,9 +37,12 @@ def read_json(spark: SparkSession, path: str):
 
 
 def write_matches(matches: DataFrame, folder: str) -> None:
-    """Matches as Parquet by pair, and the manifest of pairs that hold any."""
-    matches.write.mode("overwrite").partitionBy("image_i", "image_j").parquet(f"{folder}/matches")
-    pairs = spark_pairs(matches)
+    """Matches as Parquet, sorted by pair within each file, and the manifest of pairs that hold any.
+
+    Pairs have no folders of their own: their number grows with the square of the images.
+    """
+    matches.sortWithinPartitions("image_i", "image_j", "match_ord").write.mode("overwrite").parquet(f"{folder}/matches")
+    pairs = spark_pairs(read_matches(matches.sparkSession, folder))
     pairs.write.mode("overwrite").json(f"{folder}/pairs")
 
 
@@ -50,7 +53,7 @@ def spark_pairs(matches: DataFrame) -> DataFrame:
 
 
 def read_matches(spark: SparkSession, folder: str) -> DataFrame:
-    """Matches that ``write_matches`` wrote."""
+    """Matches that ``write_matches`` wrote; folders by pair are read too."""
     return spark.read.schema(MATCHES).parquet(f"{folder}/matches")
 
 

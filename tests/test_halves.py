@@ -69,3 +69,13 @@ def test_rounding_is_that_of_the_scaled_value(spark):
     values = [v for k in range(2000) if (v := float(np.nextafter(30 + (k + 0.5) * 1e-7, 0)))]
     got = [r[0] for r in spark.createDataFrame([(v,) for v in values], "v double").coalesce(1).select(exact(F.col("v"), 7)).collect()]
     assert got == [math.floor(v * 1e7 + 0.5) / 1e7 for v in values]
+
+
+def test_matches_of_many_pairs_make_few_files(spark, tmp_path):
+    from skyadjust.sources import artifacts
+
+    rows = [(i, j, 0, 1.0 * i, 2.0, 3.0 * j, 4.0, None if j % 2 else 0.5) for i in range(20) for j in range(i + 1, 20)]
+    artifacts.write_matches(spark.createDataFrame(rows, artifacts.MATCHES).repartition(3), str(tmp_path / "o"))
+    assert len(list((tmp_path / "o" / "matches").rglob("*.parquet"))) <= 3
+    assert sorted(map(tuple, artifacts.read_matches(spark, str(tmp_path / "o")).collect())) == rows
+    assert spark.read.json(str(tmp_path / "o" / "pairs")).count() == len(rows)
