@@ -3,13 +3,15 @@
 from __future__ import annotations
 
 import importlib.util
+import math
 import os
 from abc import ABC, abstractmethod
 from collections.abc import Callable
+from itertools import combinations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..errors import MatcherError, WeightFileNotFoundError
@@ -158,64 +160,77 @@ def nearest_ratio(features: DataFrame, pairs: DataFrame, ratio: float = 0.6) ->
     return side("image_i", True).unionAll(side("image_j", False)).groupBy("image_i", "image_j").applyInPandas(match, schema)
 
 
-def _fundamental(a: np.ndarray, b: np.ndarray) -> np.ndarray | None:
-    """Fundamental matrix of point pairs by the normalized eight-point method, of rank two."""
+def _fundamentals(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Fundamental matrices (m, 3, 3) of m sets of point pairs (m, k, 2) by the normalized eight-point method, of rank two; NaN where there is none."""
 
     def normal(p: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        mean = p.mean(0)
-        spread = np.sqrt(((p - mean) ** 2).sum(1)).mean()
-        s = np.sqrt(2) / spread if spread > 0 else 1.0
-        t = np.array([[s, 0, -s * mean[0]], [0, s, -s * mean[1]], [0, 0, 1]])
-        return np.c_[p, np.ones(len(p))] @ t.T, t
+        mean = p.mean(1)
+        spread = np.sqrt(((p - mean[:, None]) ** 2).sum(2)).mean(1)
+        s = np.where(spread > 0, np.sqrt(2) / np.where(spread > 0, spread, 1), 1.0)
+        t = np.zeros((len(p), 3, 3))
+        t[:, 0, 0], t[:, 1, 1], t[:, 2, 2] = s, s, 1
+        t[:, :2, 2] = -s[:, None] * mean
+        return np.concatenate([p, np.ones((*p.shape[:2], 1))], 2) @ t.transpose(0, 2, 1), t
 
     x, s = normal(a)
     y, t = normal(b)
+    out = np.full((len(a), 3, 3), np.nan)
+    rows = (y[:, :, :, None] * x[:, :, None, :]).reshape(*a.shape[:2], 9)
+    good = np.isfinite(rows).all((1, 2))
     try:
-        _, _, v = np.linalg.svd((y[:, :, None] * x[:, None, :]).reshape(len(a), 9))
-        u, d, w = np.linalg.svd(v[-1].reshape(3, 3))
+        _, _, v = np.linalg.svd(rows[good])
+        u, d, w = np.linalg.svd(v[:, -1].reshape(-1, 3, 3))
     except np.linalg.LinAlgError:
-        return None
-    return t.T @ (u @ np.diag([d[0], d[1], 0]) @ w) @ s
+        if len(a) > 1:
+            return np.concatenate([_fundamentals(a[k : k + 1], b[k : k + 1]) for k in range(len(a))])
+        return out
+    d[:, 2] = 0
+    out[good] = t[good].transpose(0, 2, 1) @ ((u * d[:, None, :]) @ w) @ s[good]
+    return out
 
 
-def ransac_inliers(a: np.ndarray, b: np.ndarray, threshold: float, confidence: float = 0.999, max_rounds: int = 10_000, seed: int = 0) -> np.ndarray:
-    """Mask of matches within ``threshold`` pixels (Sampson distance) of the best seeded fundamental matrix; under eight matches none."""
+def ransac_inliers(a: np.ndarray, b: np.ndarray, threshold: float, confidence: float = 0.999, max_rounds: int = 10_000, seed: int = 0, step: int = 128) -> np.ndarray:
+    """Mask of matches within ``threshold`` pixels (Sampson distance) of the best fundamental matrix of eight of them; under eight matches none.
+
+    Where there are no more samples of eight than ``max_rounds``, each is tried once; else seeded ones, ``step`` at a time.
+    """
     n = len(a)
     best = np.zeros(n, bool)
     if n < MIN_POINTS:
         return best
     rng = np.random.default_rng(seed)
     x, y = np.c_[a, np.ones(n)], np.c_[b, np.ones(n)]
-    done, limit = 0, max_rounds
+    every = np.array(list(combinations(range(n), MIN_POINTS))) if math.comb(n, MIN_POINTS) <= max_rounds else None
+    done, limit = 0, max_rounds if every is None else len(every)
 
     def inside(f: np.ndarray) -> np.ndarray:
-        fx, fy = x @ f.T, y @ f
-        top = (y * fx).sum(1) ** 2
+        fx, fy = x @ f.transpose(0, 2, 1), y @ f
+        top = (y * fx).sum(2) ** 2
         with np.errstate(divide="ignore", invalid="ignore"):
-            return top / (fx[:, 0] ** 2 + fx[:, 1] ** 2 + fy[:, 0] ** 2 + fy[:, 1] ** 2) <= threshold**2
+            return top / (fx[..., 0] ** 2 + fx[..., 1] ** 2 + fy[..., 0] ** 2 + fy[..., 1] ** 2) <= threshold**2
 
     while done < limit:
-        done += 1
-        pick = rng.choice(n, MIN_POINTS, replace=False)
-        f = _fundamental(a[pick], b[pick])
-        if f is None:
-            continue
-        mask = inside(f)
-        if mask.sum() > best.sum():
-            best = mask
+        m = min(step, limit - done)
+        pick = np.stack([rng.choice(n, MIN_POINTS, replace=False) for _ in range(m)]) if every is None else every[done : done + m]
+        done += m
+        masks = inside(_fundamentals(a[pick], b[pick]))
+        top = int(masks.sum(1).argmax())
+        if masks[top].sum() > best.sum():
+            best = masks[top]
             share = best.mean() ** MIN_POINTS
-            limit = min(max_rounds, done if share >= 1 else int(np.ceil(np.log(1 - confidence) / np.log(1 - share)))) if share > 0 else max_rounds
+            if share >= 1 or every is None:
+                limit = min(limit, done if share >= 1 else int(np.ceil(np.log(1 - confidence) / np.log(1 - share))))
     if best.sum() >= MIN_POINTS:
-        f = _fundamental(a[best], b[best])
-        if f is not None and inside(f).sum() >= best.sum():
-            best = inside(f)
+        again = inside(_fundamentals(a[best][None], b[best][None]))[0]
+        if again.sum() >= best.sum():
+            best = again
     return best
 
 
 def geometric_filter(matches: DataFrame, threshold: float = 1.5) -> DataFrame:
     """Matches that agree with their pair's epipolar geometry; the seed follows from the pair, so reruns agree.
 
-    One group is one image pair.  Pairs with fewer than eight matches keep none.
+    One group is one image pair.  Pairs with fewer than eight matches keep none, so they are not made groups.
     """
     ship(matches.sparkSession)
 
@@ -225,7 +240,8 @@ def geometric_filter(matches: DataFrame, threshold: float = 1.5) -> DataFrame:
         seed = int(first["image_i"]) * 1_000_003 + int(first["image_j"])
         return pdf[ransac_inliers(pdf[["col_i", "row_i"]].to_numpy(float), pdf[["col_j", "row_j"]].to_numpy(float), threshold, seed=seed)]
 
-    return matches.groupBy("image_i", "image_j").applyInPandas(keep, matches.schema)
+    enough = matches.withColumn("n__", F.count(F.lit(1)).over(Window.partitionBy("image_i", "image_j"))).where(F.col("n__") >= MIN_POINTS).drop("n__")
+    return enough.groupBy("image_i", "image_j").applyInPandas(keep, matches.schema)
 
 
 def ground_distance(matches: DataFrame, images: DataFrame, h_ref: float = 0.0) -> DataFrame:

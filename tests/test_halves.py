@@ -79,3 +79,15 @@ def test_matches_of_many_pairs_make_few_files(spark, tmp_path):
     assert len(list((tmp_path / "o" / "matches").rglob("*.parquet"))) <= 3
     assert sorted(map(tuple, artifacts.read_matches(spark, str(tmp_path / "o")).collect())) == rows
     assert spark.read.json(str(tmp_path / "o" / "pairs")).count() == len(rows)
+
+
+def test_small_pairs_try_every_sample_once(monkeypatch):
+    from skyadjust.operators import matching
+
+    tried, solve = [], matching._fundamentals
+    monkeypatch.setattr(matching, "_fundamentals", lambda a, b: tried.append(len(a)) or solve(a, b))
+    rng = np.random.default_rng(0)
+    a, b = rng.uniform(0, 5000, (2, 9, 2))
+    first = matching.ransac_inliers(a, b, 1e-9)
+    assert sum(tried) <= 10
+    assert (first == matching.ransac_inliers(a, b, 1e-9, seed=5)).all()
