@@ -91,3 +91,22 @@ def test_small_pairs_try_every_sample_once(monkeypatch):
     first = matching.ransac_inliers(a, b, 1e-9)
     assert sum(tried) <= 10
     assert (first == matching.ransac_inliers(a, b, 1e-9, seed=5)).all()
+
+
+def test_median_counts_bits_instead_of_holding_values(spark):
+    from skyadjust.operators.order import exact_median
+
+    rng = np.random.default_rng(1)
+    for x in (rng.exponential(3, 1001), rng.exponential(1e-9, 1000), np.r_[np.zeros(500), rng.exponential(1, 500)], np.array([2.0, math.inf, math.nan]), np.array([7.0])):
+        got = exact_median(spark.createDataFrame([(float(v),) for v in x] + [(None,)], "r double").repartition(3), "r")
+        assert got == float(np.median(np.where(np.isnan(x), np.inf, x)))
+    assert exact_median(spark.createDataFrame([(None,)], "r double"), "r") is None
+
+
+def test_report_keeps_no_values_in_one_task(spark):
+    from skyadjust.operators import adjust
+
+    res = spark.createDataFrame([(1.0, -2.0), (3.0, -5.0)], "rc double, rr double")
+    row = adjust.report_row(res, None, spark.createDataFrame([(0, 0.0, 0.0, 0.0)], "track_id long, d0 double, d1 double, d2 double"))
+    assert tuple(row.first()) == (11 / 7, 1.0, 2)
+    assert "median" not in row._jdf.queryExecution().toString().split("median_error")[0] and "percentile" not in row._jdf.queryExecution().toString()
