@@ -5,6 +5,7 @@ from types import SimpleNamespace
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from skyadjust.errors import MatcherError, WeightFileNotFoundError
 from skyadjust.operators import graph, matching, tracks
@@ -170,3 +171,37 @@ def test_pair_stats(spark):
     assert sorted(map(tuple, stats.collect())) == [(0, 1, 2, 2, 1), (0, 2, 1, 0, 0)]
     assert tuple(matching.match_summary(stats, 5).first()) == (5, 1, 4, 1.0)
     assert tuple(matching.match_summary(stats.limit(0), 0).first()) == (0, 0, 0, 0.0)
+
+
+def test_cliques_give_the_tracks_of_their_matches_with_no_file_of_matches(spark, tmp_path):
+    """Ids and tracks as from listed matches; ties, groups of one image and views that groups share occur.  Written files stay below a row a match."""
+    from skyadjust.plans import catalogue, testbed
+
+    r = random.Random(11)
+    rows = [(g, r.randrange(3), r.randrange(2), r.randrange(6), float(r.randrange(1, 4)), r.randrange(400) / 8, 0.1 * r.randrange(3)) for g in range(150) for _ in range(r.randrange(1, 9))]
+    lines = spark.createDataFrame(rows, "l_orderkey long, l_linenumber int, l_partkey long, l_suppkey long, l_quantity double, l_extendedprice double, l_discount double")
+    lines.repartition(3).write.parquet(f"{tmp_path}/lineitem.parquet")
+    m = testbed.pair_matches(spark, str(tmp_path))
+    index = tracks.observation_index(m)
+    label = graph.components(tracks.match_edges(m, index), "obs_a", "obs_b").collect()
+    rank = {c: k for k, c in enumerate(sorted({x["component"] for x in label}))}
+    want = sorted((x["node"], rank[x["component"]]) for x in label)
+    written, cut = [], graph.cut
+    with pytest.MonkeyPatch.context() as patch:
+        for where in (graph, tracks, catalogue):
+            patch.setattr(where, "cut", lambda df, name: written.append(cut(df, name)) or written[-1])
+            if where is tracks:
+                patch.setattr(where, "drop", lambda df: None)
+        got = sorted(map(tuple, catalogue.track_components(spark, str(tmp_path)).collect()))
+    assert got == want and 0 < len(rank) < len(label)
+    names = [w.cut_path.rsplit("/", 1)[1].split("-")[0] for w in written]
+    assert "places" in names and "index" not in names
+
+
+def test_sorted_ids_follow_the_order(spark):
+    from skyadjust.operators.order import sorted_ids
+
+    df = spark.range(5000).select((F.col("id") * 7919 % 5000).cast("int").alias("a"), (F.col("id") % 3).alias("b")).repartition(7)
+    got = sorted_ids(df, ["b", "a"], "k").orderBy("k").collect()
+    assert [r["k"] for r in got] == list(range(5000)) and [(r["b"], r["a"]) for r in got] == sorted((r["b"], r["a"]) for r in got)
+    assert sorted_ids(df.limit(0), ["b", "a"], "k").count() == 0
