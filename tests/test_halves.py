@@ -110,3 +110,20 @@ def test_report_keeps_no_values_in_one_task(spark):
     row = adjust.report_row(res, None, spark.createDataFrame([(0, 0.0, 0.0, 0.0)], "track_id long, d0 double, d1 double, d2 double"))
     assert tuple(row.first()) == (11 / 7, 1.0, 2)
     assert "median" not in row._jdf.queryExecution().toString().split("median_error")[0] and "percentile" not in row._jdf.queryExecution().toString()
+
+
+def test_workers_hand_memory_back_after_each_batch(spark, monkeypatch):
+    """Every batch that a function is done with is followed by ``trim``, and so is its end."""
+    from skyadjust import shipping
+
+    calls, taken = [], []
+    monkeypatch.setattr(shipping, "trim", lambda: calls.append(len(taken)))
+
+    class Frame:
+        sparkSession = spark
+
+        def mapInArrow(self, fn, schema):
+            return list(fn(iter([1, 2, 3])))
+
+    assert shipping.map_arrow(Frame(), lambda it: (taken.append(b) or b for b in it), "a int") == [1, 2, 3]
+    assert calls == [1, 2, 3, 3]
