@@ -7,12 +7,17 @@ import re
 import tempfile
 import uuid
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: The six ASCII white-space characters part words; everything else belongs to a word.
 WORD = r"[^\x20\x09-\x0D]+"
 
+#: Edges that ``components`` joins on the driver at most (16 bytes each); it gives the same beyond, by rounds of jobs.
+FEW_EDGES = 300_000
+
 #: Columns of ``documents``, in order.
 DOC_COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
@@ -78,12 +83,35 @@ def hash_share(hashed: Column, rows: int, total: int) -> Column:
     return hashed <= F.lit(min((1 << 63) - 1, -(1 << 63) + int((1 << 64) * min(1.0, rows / max(total, 1)))))
 
 
+def unite(root: np.ndarray, p: np.ndarray, q: np.ndarray) -> None:
+    """Join the trees of ``p`` and ``q`` in ``root``, in place; every entry is its tree's smallest number."""
+    while True:
+        a, b = root[p], root[q]
+        apart = a != b
+        if not apart.any():
+            return
+        p, q, a, b = p[apart], q[apart], a[apart], b[apart]
+        np.minimum.at(root, np.maximum(a, b), np.minimum(a, b))
+        while not np.array_equal(root, root[root]):
+            root[:] = root[root]
+
+
+def _united(edges: pa.Table) -> pa.Table:
+    """(node, root) of every node of the edges (u, v)."""
+    u, v = (edges.column(i).to_numpy() for i in (0, 1))
+    nodes, at = np.unique(np.concatenate([u, v]), return_inverse=True)
+    root = np.arange(len(nodes))
+    unite(root, at[: len(u)], at[len(u) :])
+    return pa.table({"node": nodes, "root": nodes[root]})
+
+
 def components(spark: SparkSession, edges: DataFrame, a: str, b: str, scratch: Scratch, max_rounds: int = 60) -> DataFrame:
     """Connected components by alternating large-star and small-star steps.
 
     ``edges`` holds pairs of longs; self-loops and repeats may occur.  Returns (node, root) for every
     node that has an edge to another, root being the smallest node of its component.  Each round is a
     pair of grouped aggregations and joins on the node; nothing is collected but the edge-change count.
+    At most FEW_EDGES edges are joined on the driver instead: a round takes a dozen stages, however few there are.
     """
 
     def star(e: DataFrame, large: bool) -> DataFrame:
@@ -102,6 +130,10 @@ def components(spark: SparkSession, edges: DataFrame, a: str, b: str, scratch: S
 
     e = edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u != v").distinct()
     e = scratch.save(e, "edges")
+    if e.count() <= FEW_EDGES:
+        found = _united(e.toArrow())
+        scratch.drop(e)
+        return scratch.save(spark.createDataFrame(found, "node long, root long"), "united")
     before = None
     for _ in range(max_rounds):
         new = scratch.save(star(star(e, True), False), "stars")
