@@ -2,6 +2,7 @@
 
 Each stage is a function (spark, docs, sf_dir) -> DataFrame; what it returns is written as Parquet
 and read again as the next one's ``docs``.  All but the last return the columns of ``documents``.
+All but the first begin by giving back the executors' memory that the stage before has left.
 """
 
 from __future__ import annotations
@@ -9,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from skyadjust.llm import bpe, jaccard, mixing, phrases, quality
-from skyadjust.llm._common import DOC_COLUMNS, Scratch
+from skyadjust.llm._common import DOC_COLUMNS, Scratch, shrink_executors
 from skyadjust.llm.queries import table, tokenizer_json
 
 
@@ -21,21 +22,25 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document, that with the smallest doc_id, of each component of the n-gram Jaccard join."""
+    shrink_executors(spark)
     return jaccard.keep_first(docs.select(*DOC_COLUMNS))
 
 
 def repeated_passage_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without the words of recurring passages; n_chars follows.  No row goes."""
+    shrink_executors(spark)
     return phrases.strip(docs.select(*DOC_COLUMNS))
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often (0, 1 or 2 times) as the mix of sources takes them."""
+    shrink_executors(spark)
     return mixing.apply(docs.select(*DOC_COLUMNS))
 
 
 def token_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of every document (packed), their number, and digests of ids and decoded text."""
+    shrink_executors(spark)
     return bpe.encode(docs, tokenizer_json(), packed=True)
 
 

@@ -69,6 +69,15 @@ class Scratch:
             at.getFileSystem(conf).delete(at, True)
 
 
+def shrink_executors(spark: SparkSession) -> None:
+    """Let executors collect garbage, so that heap which an earlier step filled goes back to the system: their Python workers need it.
+
+    A task for each core, which reach all executors where none is busy; nothing depends on it.
+    """
+    n = spark.sparkContext.defaultParallelism
+    spark.range(0, n, 1, n).select(F.expr("reflect('java.lang.System', 'gc')")).write.format("noop").mode("overwrite").save()
+
+
 def text_or_empty(col: str = "text") -> Column:
     return F.coalesce(F.col(col).cast("string"), F.lit(""))
 
