@@ -26,6 +26,8 @@ THRESHOLD = 0.3
 SAMPLE = 6000
 #: Preference pairs drawn from them.
 PAIRS = 30_000
+#: Pairs whose differences are held at a time (about a kilobyte each): all of them together would be the driver's largest tables.
+BLOCK = 1000
 N_FEATURES = 128 + 11
 
 
@@ -103,12 +105,15 @@ def fit(x: np.ndarray, y: np.ndarray, ridge: float = 1e-3, steps: int = 25, seed
     scale = np.where(scale < 1e-9, 1.0, scale)
     z = (x - centre) / scale
     rng = np.random.default_rng(seed)
-    diff = z[rng.choice(good, PAIRS)] - z[rng.choice(bad, PAIRS)]
+    won, lost = rng.choice(good, PAIRS), rng.choice(bad, PAIRS)
     w = np.zeros(d)
     for _ in range(steps):
-        p = 1 / (1 + np.exp(np.clip(diff @ w, -30, 30)))
-        grad = -diff.T @ p / PAIRS + ridge * w
-        hess = (diff * (p * (1 - p))[:, None]).T @ diff / PAIRS + ridge * np.eye(d)
+        grad, hess = ridge * w, ridge * np.eye(d)
+        for lo in range(0, PAIRS, BLOCK):
+            diff = z[won[lo : lo + BLOCK]] - z[lost[lo : lo + BLOCK]]
+            p = 1 / (1 + np.exp(np.clip(diff @ w, -30, 30)))
+            grad -= diff.T @ p / PAIRS
+            hess += (diff * (p * (1 - p))[:, None]).T @ diff / PAIRS
         step = np.linalg.solve(hess, grad)
         w = w - step
         if np.abs(step).max() < 1e-8:
@@ -160,16 +165,21 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Ranking:
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
     chosen = own.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
     rows = texts.join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "y").agg(F.min("text").alias("text")).select(F.struct("doc_id", "y").alias("key"), "text")
-    got = _map(rows, "key struct<doc_id:bigint,y:int>, x array<double>", lambda x: [pa.array(list(x), pa.list_(pa.float64()))]).collect()
-    got.sort(key=lambda r: r["key"]["doc_id"])
-    x = np.array([r["x"] for r in got]).reshape(len(got), N_FEATURES)
-    ranking = fit(x, np.array([r["key"]["y"] for r in got]))
+    got = _map(rows, "key struct<doc_id:bigint,y:int>, x array<double>", lambda x: [pa.array(list(x), pa.list_(pa.float64()))]).toArrow()
+    key, x = (got.column(c).combine_chunks() for c in ("key", "x"))
+    order = np.argsort(key.field("doc_id").to_numpy())
+    # The driver's heap that collecting took goes back before the fit and before the last pass.
+    scratch.release()
+    ranking = fit(x.flatten().to_numpy().reshape(len(x), N_FEATURES)[order], key.field("y").to_numpy()[order])
+    del got, key, x
     if not ranking.weight.any():
         return ranking
     few = own.count() <= 300_000
     scored = _map(texts.join(F.broadcast(own.select("doc_id")), "doc_id", "left_semi") if few else texts, "doc_id long, v double", lambda x: [pa.array(ranking.raw(x), pa.float64())])
     scored = scratch.save(scored.join(F.broadcast(own) if few else own, "doc_id").select("y", "v"), "scored")
-    return replace(ranking, cut=float(middle(scored.select("v"), scored.where("y = 0").count())))
+    cut = float(middle(scored.select("v"), scored.where("y = 0").count()))
+    scratch.release()
+    return replace(ranking, cut=cut)
 
 
 def classify(docs: DataFrame, ranking: Ranking) -> DataFrame:

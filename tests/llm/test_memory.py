@@ -1,4 +1,9 @@
+import tracemalloc
+
+import numpy as np
+
 import corpus_pipeline
+from skyadjust.llm import quality
 from skyadjust.llm._common import shrink_executors
 
 
@@ -19,3 +24,17 @@ def test_mixing_begins_with_the_memory_given_back(spark, make_docs, prose):
     before = full_collections(spark)
     corpus_pipeline.mixing_stage(spark, docs, "")
     assert full_collections(spark) > before
+
+
+def test_the_fit_holds_few_pairs_at_a_time():
+    """Differences of all pairs at once, four tables of them, took the driver over its memory in the pipeline's first stage."""
+    x = np.random.default_rng(1).random((quality.SAMPLE, quality.N_FEATURES))
+    y = (x[:, 0] + x[:, 1] > 1).astype(int)
+    tracemalloc.start()
+    try:
+        found = quality.fit(x, y)
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert peak < 4 * x.nbytes
+    assert ((found.raw(x) > np.median(found.raw(x))) == (y == 1)).mean() > 0.9
